@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import language_id
+from . import bpe, language_id
 from .util import crc_mod
 
 
@@ -16,7 +16,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op10_byte_bpe": op10_byte_bpe,
     "op4_language_id": op4_language_id,
 }
 
