@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, language_id
+from . import bpe, language_id, quality, toxicity
 from .util import crc_mod
 
 
@@ -25,7 +25,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(docs, load(spark, sf_dir, "labels")))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages")
+    )
+
+
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
+    "op8_toxicity_segments": op8_toxicity_segments,
     "op10_byte_bpe": op10_byte_bpe,
     "op4_language_id": op4_language_id,
 }
