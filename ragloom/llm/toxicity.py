@@ -65,11 +65,13 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def log_odds(counts: list[tuple[str, int, int]], *, prior: float = 1_000.0, z_min: float = 3.0) -> tuple[dict[str, float], float]:
-    """Word scores whose |z| reaches ``z_min`` and that favour toxic texts, and the score of the rest.
+def log_odds(counts: list[tuple[str, int, int]], *, prior: float = 1_000.0, z_min: float = 4.0, odds_min: float = 4.0) -> tuple[dict[str, float], float]:
+    """Scores of the words that clearly favour toxic texts, and the score of the rest.
 
-    counts: (word, in toxic documents, in others). The prior adds ``prior``
-    words to either side, dealt by the words' share of both sides together.
+    counts: (word, contexts in toxic documents, in others). The prior adds
+    ``prior`` words to either side, dealt by the words' share of both sides
+    together. A word is kept if its log-odds are ``z_min`` standard errors
+    above zero and its odds reach ``odds_min``.
     """
     n1, n0 = sum(c[1] for c in counts), sum(c[2] for c in counts)
     kept, gain, share = {}, 0.0, 0.0
@@ -77,7 +79,7 @@ def log_odds(counts: list[tuple[str, int, int]], *, prior: float = 1_000.0, z_mi
         p = prior * (a + b) / max(n1 + n0, 1)
         delta = math.log((a + p) / max(n1 + prior - a - p, 1e-9)) - math.log((b + p) / max(n0 + prior - b - p, 1e-9))
         z = delta / math.sqrt(1 / (a + p) + 1 / (b + p))
-        if z >= z_min:
+        if z >= z_min and delta >= math.log(odds_min):
             kept[word] = delta
             share += b / max(n0, 1)
             gain += delta * b / max(n0, 1)
@@ -122,8 +124,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0.
 
     Bounds: at most ``sample_rows`` labelled ids, those with the lowest hash,
-    and the ``vocabulary`` words that the most of their documents have (at
-    least two). Words are counted once a document. Null labels are left out;
+    and the ``vocabulary`` words with the most contexts (at least two). A word
+    counts once for each pair of neighbours that it has, so that copies of one
+    text count as one. Null labels are left out;
     an id with several labels counts with its largest. Without labelled rows
     of both kinds every document scores the same.
     """
@@ -137,13 +140,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             words, ys = [], []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(tokens(text))
+                toks = tokens(text)
+                own = set(zip(toks, ["", *toks], [*toks[1:], ""], strict=False))
                 words += own
                 ys += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ys, pa.int32())], names=["word", "y"])
+            word, before, after = zip(*words, strict=True) if words else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (word, before, after)] + [pa.array(ys, pa.int32())], names=["word", "before", "after", "y"])
 
     sample = rows.select("y", "text")
-    counts = sample.mapInArrow(once, "word string, y int").groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("a"), F.count("*").alias("n"))
+    contexts = sample.mapInArrow(once, "word string, before string, after string, y int").distinct()
+    counts = contexts.groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("a"), F.count("*").alias("n"))
     got = counts.filter("n >= 2").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     words, rest = log_odds([(r.word, r.a, r.n - r.a) for r in got])
     held = spark.sparkContext.broadcast(words)
