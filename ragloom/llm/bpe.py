@@ -20,11 +20,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import slices
+
 #: Characters of a chunk and of the margin in which neighbours overlap.
 CHUNK = 32_768
 MARGIN = 2_048
 #: Pieces that a Python worker keeps encoded; the cache starts anew beyond it.
-CACHE = 400_000
+CACHE = 250_000
 #: Pieces beyond so many bytes are merged with a heap.
 SHORT = 64
 
@@ -107,7 +109,7 @@ class Encoder(dict):
         out = array("I", ids).tobytes()
         if len(self) >= CACHE:
             self.clear()
-        if len(raw) <= 256:
+        if len(raw) <= 24:
             self[piece] = out
         return out
 
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def whole(batches):
         enc = _encoder(held)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
@@ -174,7 +176,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def boundaries(batches):
         enc = _encoder(held)
-        for batch in batches:
+        for batch in slices(batches, 32):
             chunks, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             left, right = [], []
             for c, text in zip(chunks, texts, strict=True):
@@ -195,7 +197,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def parts(batches):
         enc = _encoder(held)
-        for batch in batches:
+        for batch in slices(batches, 32):
             row = batch.to_pydict()
             ids = []
             for c, text, start, stop, last in zip(row["chunk"], row["text"], row["start"], row["stop"], row["last"], strict=True):
@@ -227,7 +229,7 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
                 table[rank] = raw
             _vocab[key] = table
         at = _vocab[key].__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for raw in batch.column(len(rest)).to_pylist():
                 if raw is None:

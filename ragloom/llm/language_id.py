@@ -123,7 +123,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     )
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    few = rows.select("id", "lang", share.alias("u")).join(counts, "lang").filter(F.col("u") * F.col("n") <= 3 * sample_docs)
+    few = rows.select("id", "lang", share.alias("u")).join(F.broadcast(counts), "lang").filter(F.col("u") * F.col("n") <= 3 * sample_docs)
     order = Window.partitionBy("lang").orderBy("u", "id")
     chosen = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_docs).select("id", "lang", "r")
     got = rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "r", "id", F.substring("text", 1, 4 * sample_chars).alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc_mod
+from .util import crc_mod, slices
 
 WORDS = 1 << 14
 BINS = 12
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id
 
     def run(batches):
         m = held.value
-        for batch in batches:
+        for batch in slices(batches, 256):
             out = np.zeros(batch.num_rows)
             texts, stated = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for at in range(0, len(texts), 256):

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc_mod
+from .util import crc_mod, slices
 
 WORD = regex.compile(r"\w+")
 
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     def run(batches):
         m = held.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("log_expect", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches, 256):
             out, spans = [], []
             for text in batch.column(1).to_pylist():
                 x, kept = _evidence(text, m.words, m.rest, m.lam, m.log_k, m.max_expect)

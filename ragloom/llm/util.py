@@ -56,6 +56,13 @@ def out_schema(**fields: pa.DataType) -> pa.Schema:
     return pa.schema(list(fields.items()))
 
 
+def slices(batches, rows: int = 128):
+    """The same rows in small batches, so that a worker holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _local_forest(batches):
     """A spanning forest of the edges that one task reads, block by block."""
     for batch in batches:
