@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, language_id, quality, toxicity
+from . import bpe, language_id, mixing, pii, quality, toxicity
 from .util import crc_mod
 
 
@@ -39,11 +39,25 @@ def op8_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(load(spark, sf_dir, "documents")))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 QUERIES = {
+    "op5_pii": op5_pii,
+    "op6_source_mix": op6_source_mix,
     "op1_quality_fm": op1_quality_fm,
     "op8_toxicity_segments": op8_toxicity_segments,
     "op10_byte_bpe": op10_byte_bpe,
     "op4_language_id": op4_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_pii": pii.ORACLE_SQL,
+    "op6_source_mix": mixing.ORACLE_SQL,
+}
