@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import bpe, language_id, mixing, pii, quality, toxicity
+from . import ann, bpe, language_id, mixing, near_vectors, pii, quality, toxicity
 from .util import crc_mod
 
 
@@ -48,7 +48,18 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.link(load(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 QUERIES = {
+    "op2_additive_ann": op2_additive_ann,
+    "op9_near_vectors": op9_near_vectors,
     "op5_pii": op5_pii,
     "op6_source_mix": op6_source_mix,
     "op1_quality_fm": op1_quality_fm,
