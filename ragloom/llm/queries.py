@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import ann, bpe, language_id, mixing, near_vectors, pii, quality, toxicity
+from . import ann, bpe, jaccard, language_id, mixing, near_vectors, pii, quality, toxicity
 from .util import crc_mod
 
 
@@ -57,7 +57,12 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(load(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
 QUERIES = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op2_additive_ann": op2_additive_ann,
     "op9_near_vectors": op9_near_vectors,
     "op5_pii": op5_pii,

@@ -121,3 +121,34 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
+
+
+class Bloom:
+    """A set of 64-bit hashes in a bit map of fixed size: no false negatives.
+
+    Its size is bounded whatever goes in; a fuller map only lets more through,
+    and what passes is joined exactly afterwards.
+    """
+
+    WORDS = 1 << 19  # 64-bit words: 4 MB
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Bloom:
+        """Of the only column of ``hashes`` (long); bits are united before they are collected."""
+        h = F.col(hashes.columns[0])
+        both = F.array(h, F.xxhash64(h))
+        at = hashes.select(F.explode(both).alias("h")).select(F.pmod("h", F.lit(cls.WORDS)).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
+        got = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        bits = np.zeros(cls.WORDS, np.int64)
+        bits[np.asarray(got.column("word").combine_chunks(), np.int64)] = np.asarray(got.column("bits").combine_chunks(), np.int64)
+        return cls(bits)
+
+    def has(self, h: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """For hashes and their xxhash64 (see ``second``)."""
+        found = np.ones(len(h), bool)
+        for x in (h, second):
+            found &= (self.bits[x % self.WORDS].view(np.uint64) >> (x.view(np.uint64) >> np.uint64(58))) & np.uint64(1) == 1
+        return found
