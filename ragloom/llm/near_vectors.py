@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import connected_components, materialize
+from .util import connected_components, keep
 from .vectors import matrix, of_one_size
 
 #: Rows of a sorted bucket that the splitters aim at; rows of a block of exact counts.
@@ -90,7 +90,7 @@ def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     spark = rows.sparkSession
     every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("long").alias("label"))
     valid, dim = of_one_size(every.filter("label is not null and id is not null"), "vec")
-    classes = materialize(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
+    classes = keep(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     n = classes.count()
     alone = every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     if not n:
@@ -152,7 +152,7 @@ def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
                     yield from piece(False)
         yield from piece(True)
 
-    steps = materialize(dealt.mapInArrow(compare, _STEP), "near-steps")
+    steps = keep(dealt.mapInArrow(compare, _STEP))
 
     def across(key, pdf):
         import pandas as pd
@@ -168,7 +168,7 @@ def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     inner = F.pmod(F.col("edge") + 1, F.lit(buckets)) != 0  # the last bucket of a pass has no next one
     between = steps.filter(F.col("edge").isNotNull() & (F.col("edge") >= 0) & inner).groupBy("edge").applyInPandas(across, "a long, b long")
     pairs = steps.filter("a is not null").select("a", "b").unionByName(between)
-    comps = materialize(connected_components(pairs, "a", "b"), "near-components")
+    comps = keep(connected_components(pairs, "a", "b"))
 
     # exact counts: blocks of a component against each other
     sizes = comps.groupBy("component").agg(F.count("*").alias("size"))

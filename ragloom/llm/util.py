@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks once computed, with its lineage.
+
+    Blocks of a lost executor are computed again. For steps that several later
+    ones read; iterations cut their lineage with ``materialize`` instead.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
