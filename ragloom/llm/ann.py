@@ -10,6 +10,7 @@ ranked again by the exact distance.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,15 @@ QUERIES = 128
 
 @dataclass(frozen=True)
 class Codebooks:
-    """words: codebook, codeword, component; products: all inner products of codewords."""
+    """words: codebook, codeword, component."""
 
     words: np.ndarray
-    products: np.ndarray
+
+    @cached_property
+    def products(self) -> np.ndarray:
+        """Inner products of all codewords: computed where vectors are encoded, never sent."""
+        w = self.words.astype(np.float32)
+        return np.einsum("akd,bld->akbl", w, w, optimize=True)
 
     @property
     def shape(self) -> tuple[int, int, int]:
@@ -82,8 +88,7 @@ def train(x: np.ndarray, *, books: int = 16, words: int = 256, rounds: int = 6,
         centres, near = _means(rest, min(words, len(x)), rounds, rng)
         found.append(centres)
         rest = rest - centres[near]
-    all_words = np.stack(found)
-    return Codebooks(all_words, np.einsum("akd,bld->akbl", all_words, all_words, optimize=True))
+    return Codebooks(np.stack(found))
 
 
 def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 10, short: int = 256, beam: int = 6, sample_rows: int = 8_192) -> DataFrame:
