@@ -175,6 +175,29 @@ def phrase_counts(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, n
     return phrases, lens
 
 
+def _decide(texts: list[str | None], m: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Language and score of every text."""
+    lang: list[str] = ["und"] * len(texts)
+    score = np.zeros(len(texts))
+    block: list[int] = []
+    total = 0
+    known = [i for i, t in enumerate(texts) if m.langs and t and LETTER.search(t)]
+    for i in [*known, None]:
+        if i is not None:
+            block.append(i)
+            total += len(texts[i])
+        if block and (i is None or total >= BLOCK):
+            phrases, lens = phrase_counts([texts[j] for j in block], m)
+            entropy = phrases * m.bits[:, None] / np.maximum(lens, 1)
+            ranked = np.sort(entropy, axis=0)
+            sure = 1 - ranked[0] / ranked[1] if len(m.langs) > 1 else np.ones(len(block))
+            for j, b in zip(block, entropy.argmin(axis=0).tolist(), strict=True):
+                lang[j] = m.langs[b]
+            score[block] = np.clip(sure, 0, 1)
+            block, total = [], 0
+    return lang, score
+
+
 def detect(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row of ``docs``.
 
@@ -187,30 +210,23 @@ def detect(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = held.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang: list[str] = ["und"] * len(texts)
-            score = np.zeros(len(texts))
-            block: list[int] = []
-            total = 0
-            known = [i for i, t in enumerate(texts) if m.langs and t and LETTER.search(t)]
-            for i in [*known, None]:
-                if i is not None:
-                    block.append(i)
-                    total += len(texts[i])
-                if block and (i is None or total >= BLOCK):
-                    phrases, lens = phrase_counts([texts[j] for j in block], m)
-                    entropy = phrases * m.bits[:, None] / np.maximum(lens, 1)
-                    best = entropy.argmin(axis=0)
-                    ranked = np.sort(entropy, axis=0)
-                    sure = 1 - ranked[0] / ranked[1] if len(m.langs) > 1 else np.ones(len(block))
-                    for j, b in zip(block, best.tolist(), strict=True):
-                        lang[j] = m.langs[b]
-                    score[block] = np.clip(sure, 0, 1)
-                    block, total = [], 0
+            lang, score = _decide(batch.column(1).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that get a language."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            lang, _ = _decide(batch.column(at).to_pylist(), held.value)
+            yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import ann, bpe, jaccard, language_id, mixing, near_vectors, pii, quality, toxicity
+from . import ann, bpe, jaccard, language_id, mixing, near_vectors, pii, quality, suffixes, toxicity
 from .util import crc_mod
 
 
@@ -61,7 +61,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(load(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove(load(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op2_additive_ann": op2_additive_ann,
     "op9_near_vectors": op9_near_vectors,

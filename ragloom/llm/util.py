@@ -134,31 +134,35 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
 
 
 class Bloom:
-    """A set of 64-bit hashes in a bit map of fixed size: no false negatives.
+    """A set of 64-bit hashes in a bit map of a stated size: no false negatives.
 
-    Its size is bounded whatever goes in; a fuller map only lets more through,
-    and what passes is joined exactly afterwards.
+    Its size is bounded whatever goes in. A fuller map lets more through, which
+    costs time and never changes a result: what passes is compared exactly.
     """
 
-    WORDS = 1 << 19  # 64-bit words: 4 MB
-
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     @classmethod
-    def of(cls, hashes: DataFrame) -> Bloom:
-        """Of the only column of ``hashes`` (long); bits are united before they are collected."""
+    def of(cls, hashes: DataFrame, words: int = 1 << 19) -> Bloom:
+        """Of the only column of ``hashes`` (long), in ``words`` 64-bit words; bits are united before they are collected."""
         h = F.col(hashes.columns[0])
-        both = F.array(h, F.xxhash64(h))
-        at = hashes.select(F.explode(both).alias("h")).select(F.pmod("h", F.lit(cls.WORDS)).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
+        at = hashes.select(F.explode(F.array(h, _turned(h))).alias("h"))
+        at = at.select(F.pmod("h", F.lit(words)).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
         got = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        bits = np.zeros(cls.WORDS, np.int64)
+        bits = np.zeros(words, np.int64)
         bits[np.asarray(got.column("word").combine_chunks(), np.int64)] = np.asarray(got.column("bits").combine_chunks(), np.int64)
         return cls(bits)
 
-    def has(self, h: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """For hashes and their xxhash64 (see ``second``)."""
+    def has(self, h: np.ndarray) -> np.ndarray:
+        x = h.view(np.uint64)
         found = np.ones(len(h), bool)
-        for x in (h, second):
-            found &= (self.bits[x % self.WORDS].view(np.uint64) >> (x.view(np.uint64) >> np.uint64(58))) & np.uint64(1) == 1
+        for y in (x, (x << np.uint64(32)) | (x >> np.uint64(32))):
+            word = (y.view(np.int64) % len(self.bits)).astype(np.int64)
+            found &= (self.bits[word].view(np.uint64) >> (y >> np.uint64(58))) & np.uint64(1) == 1
         return found
+
+
+def _turned(h: Column) -> Column:
+    """The halves of a 64-bit hash the other way round."""
+    return F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32))
