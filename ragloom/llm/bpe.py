@@ -25,8 +25,8 @@ from .util import slices
 #: Characters of a chunk and of the margin in which neighbours overlap.
 CHUNK = 32_768
 MARGIN = 2_048
-#: Pieces that a Python worker keeps encoded; the cache starts anew beyond it.
-CACHE = 250_000
+#: Pieces that a task keeps encoded; the cache starts anew beyond it.
+CACHE = 150_000
 #: Pieces beyond so many bytes are merged with a heap.
 SHORT = 64
 
@@ -117,16 +117,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.find(text)))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-_vocab: dict[str, list[bytes]] = {}
-
-
 def _encoder(held) -> Encoder:
-    """One encoder for each worker process, kept between tasks."""
-    key, ranks, pattern = held.value
-    if (key, pattern) not in _encoders:
-        _encoders[key, pattern] = Encoder(ranks, pattern)
-    return _encoders[key, pattern]
+    """An encoder for one task: workers outlive tasks, and would keep its cache."""
+    _, ranks, pattern = held.value
+    return Encoder(ranks, pattern)
 
 
 def _chunks(size: int):
@@ -222,13 +216,11 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
     rest = [c for c in encoded.columns if c != ids_col]
 
     def run(batches):
-        key, ranks = vocab.value
-        if key not in _vocab:
-            table = [None] * (max(ranks.values(), default=-1) + 1)
-            for raw, rank in ranks.items():
-                table[rank] = raw
-            _vocab[key] = table
-        at = _vocab[key].__getitem__
+        _, ranks = vocab.value
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for raw, rank in ranks.items():
+            table[rank] = raw
+        at = table.__getitem__
         for batch in slices(batches):
             texts = []
             for raw in batch.column(len(rest)).to_pylist():

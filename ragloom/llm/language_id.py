@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import crc_mod
+from .util import crc_mod, slices
 
 #: A table entry: the next state's offset, and this bit where a phrase ended.
 PHRASE_END = 1 << 30
@@ -27,7 +27,7 @@ OFFSET = PHRASE_END - 1
 #: Texts are parsed in segments of so many characters; a phrase ends with its segment.
 SEGMENT = 1024
 #: So many characters are stepped together.
-BLOCK = 2_000_000
+BLOCK = 600_000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -210,7 +210,7 @@ def detect(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             lang, score = _decide(batch.column(1).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], names=["id", "lang_pred", "score"])
 
@@ -225,7 +225,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             lang, _ = _decide(batch.column(at).to_pylist(), held.value)
             yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
