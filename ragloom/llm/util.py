@@ -86,10 +86,14 @@ def out_schema(**fields: pa.DataType) -> pa.Schema:
 
 
 def slices(batches, rows: int = 128):
-    """The same rows in small batches, so that a worker holds few texts at once."""
+    """The same rows in small batches, so that a worker holds few texts at once.
+
+    Workers outlive their tasks; what Arrow no longer needs goes back at the end.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def _local_forest(batches):
