@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -88,12 +89,16 @@ def out_schema(**fields: pa.DataType) -> pa.Schema:
 def slices(batches, rows: int = 128):
     """The same rows in small batches, so that a worker holds few texts at once.
 
-    Workers outlive their tasks; what Arrow no longer needs goes back at the end.
+    Workers outlive their tasks; what Arrow and the C library no longer need
+    goes back at the end.
     """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _local_forest(batches):
