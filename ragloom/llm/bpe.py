@@ -207,13 +207,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded", keep_ids: bool = False) -> DataFrame:
     """All columns of ``encoded`` but the ids, and the bytes that they stand for.
 
-    Null ids give null; an id that the ranks don't have fails the job.
+    With ``keep_ids`` the ids stay, before the bytes. Null ids give null; an id that the ranks don't have fails the job.
     """
     vocab = encoded.sparkSession.sparkContext.broadcast((ranks_path, read_ranks(ranks_path)))
     rest = [c for c in encoded.columns if c != ids_col]
+    named = [*rest, ids_col] if keep_ids else rest
+    kept = len(named)
 
     def run(batches):
         _, ranks = vocab.value
@@ -230,8 +232,8 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
                 ids = array("I")
                 ids.frombytes(raw)
                 texts.append(b"".join(map(at, ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.binary())], names=[*rest, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(texts, pa.binary())], names=[*named, out_col])
 
     rows = encoded.select(*rest, ids_col)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(rest)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:kept])
     return rows.mapInArrow(run, f"{kinds}, `{out_col}` binary")
