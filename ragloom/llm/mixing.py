@@ -126,7 +126,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them (ids must be unique)."""
     times = mixed.filter("times > 0").select(F.col(id_col).alias("_id"), F.col("times").cast("int").alias("_times"))
-    out = docs.join(times, docs[id_col] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    out = docs.join(times.hint("shuffle_hash"), docs[id_col] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select(*(docs[c] for c in docs.columns))
 
 
