@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, retrieval, text
+from ..operators import analytics, ranking, retrieval, text
 from ..session import load
+from ..streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +116,40 @@ add("R2_vector_top_k", "embeddings", lambda v: retrieval.vector_top_k(v.filter("
     """SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id,
     round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score
     FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 20)) WHERE rank <= 10""")
+
+
+def _two_lists(b: DataFrame, d: DataFrame) -> DataFrame:
+    lexical = _lexical(b, d).select("query_id", "doc_id", "rank")
+    return retrieval.fuse(lexical.unionByName(ranking.rerank(lexical, "query_id", F.col("doc_id"))))
+
+
+_TWO = "(SELECT query_id, doc_id, rank FROM lex UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) FROM lex)"
+add_many("R3_fusion", ["benchmark", "documents"], _two_lists, _LEX + f" SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM {_TWO} GROUP BY 1, 2")
+add_many("W8_position_scores", ["benchmark", "documents"], lambda b, d: ranking.position_scores(_lexical(b, d), "query_id").select("query_id", "doc_id", "bias", "linear"),
+    _LEX + """ SELECT query_id, doc_id, round(1 - (rank - 1)::DOUBLE / count(*) OVER (PARTITION BY query_id) * 0.1::DOUBLE, 6) AS bias,
+    round(1 - (rank - 1)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY query_id) - 1), 6) AS linear FROM lex""")
+add_many("T10_citation_cap", ["benchmark", "documents"], lambda b, d: _lexical(b, d).filter("rank <= 5").select("query_id", "doc_id"), _LEX + " SELECT query_id, doc_id FROM lex WHERE rank <= 5")
+add("R13_diversity", "embeddings", lambda v: ranking.mmr(
+    retrieval.vector_top_k(v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), ranking.MMR_CANDIDATES)
+    .join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"), 5, 0.7), None)
+add("QS5_context", "conversations", lambda c: ranking.pack(c, "conv_id", "text", ["turn", "text"], 1_200).select("conv_id", "parts", F.md5("context").alias("digest")),
+    """WITH p AS (SELECT *, length(text) + 5 + coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 7 * greatest(0, row_number() OVER w - 2) <= 1200 AS fits
+    FROM conversations WHERE length(text) > 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text))
+    SELECT conv_id, count(*) AS parts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text)) AS digest
+    FROM (SELECT *, bool_and(fits) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS keep FROM p) WHERE keep GROUP BY 1""")
+add("QS4_operator_score", "supplier", lambda s: s.select("s_suppkey", F.round(ranking.operator_score(
+    F.when(F.col("s_nationkey") % 2 == 0, F.array(F.lit("billing"), F.lit("refunds"))).otherwise(F.array(F.lit("billing"))), F.array(F.lit("billing"), F.lit("refunds")), F.array(F.lit("refunds")),
+    F.col("s_suppkey") % 6, F.lit(6), F.col("s_suppkey") % 12, 3 + F.col("s_suppkey") % 4 * 0.5, F.col("s_suppkey"), F.lit("high")), 6).alias("score")),
+    """SELECT s_suppkey, round(CASE WHEN s_nationkey % 2 = 0 THEN 30 ELSE 10 END + (1 - (s_suppkey % 6) / 6.0::DOUBLE) * 25 + CASE WHEN s_suppkey % 12 <= 2 THEN 20 WHEN s_suppkey % 12 <= 10 THEN 20 - (s_suppkey % 12 - 2) / 8.0::DOUBLE * 20 ELSE 0 END
+    + CASE s_suppkey % 4 WHEN 3 THEN 15 WHEN 2 THEN 12 WHEN 1 THEN 8 ELSE 5 END + CASE WHEN s_suppkey > 20 THEN 5 ELSE 0 END, 6) AS score FROM supplier""")
+add("T5_alphabetical_priority", "orders", lambda o: o.orderBy("o_orderpriority", "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority"), "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 20")
+add("T6_page_and_total", "orders", lambda o: o.orderBy("o_orderkey").offset(40).limit(20).select("o_orderkey", o.select(F.count("*")).scalar().alias("total")), "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40")
+add("T7_relevance_order", "customer", lambda c: c.select("c_custkey", F.when(F.col("c_mktsegment").startswith("AUTO"), 0).when(F.col("c_name").contains("1"), 1).otherwise(2).alias("grade")).orderBy("grade", F.desc("c_custkey")).limit(10),
+    "SELECT c_custkey, CASE WHEN c_mktsegment LIKE 'AUTO%' THEN 0 WHEN c_name LIKE '%1%' THEN 1 ELSE 2 END AS grade FROM customer ORDER BY grade, c_custkey DESC LIMIT 10")
+add_many("G3_changes", ["documents", "benchmark"], lambda d, b: ranking.changes(d.select(F.col("doc_id").alias("id"), "text"), b.select(F.col("item_id").alias("id"), "text"), "id", "text"),
+    "SELECT coalesce(doc_id, item_id) AS id, CASE WHEN item_id IS NULL THEN 'new' WHEN doc_id IS NULL THEN 'removed' WHEN d.text IS NOT DISTINCT FROM b.text THEN 'unchanged' ELSE 'updated' END AS state FROM documents d FULL JOIN benchmark b ON doc_id = item_id")
+add_many("G7_mismatch", ["embeddings", "documents"], lambda v, d: v.select(F.col("vec_id").alias("id"), F.lit(1).alias("x")).join(d.select(F.col("doc_id").alias("id"), F.lit(1).alias("y")), "id", "full").filter("x is null or y is null").select("id", F.when(F.col("x").isNull(), "no vector").otherwise("no document").alias("problem")),
+    "SELECT coalesce(vec_id, doc_id) AS id, CASE WHEN vec_id IS NULL THEN 'no vector' ELSE 'no document' END AS problem FROM embeddings FULL JOIN documents ON vec_id = doc_id WHERE vec_id IS NULL OR doc_id IS NULL")
+add("ST1_daily_counts", "events", lambda e: counters.daily_counts(e, ["event_type"]), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+add("ST4_alerts", "events", lambda e: counters.alerts(e, F.col("value"), 90.0).select("event_id"), "SELECT event_id FROM events WHERE value > 90")
+add("ST5_rate_limit", "events", lambda e: counters.over_limit(e, ["event_type"], 1), "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
