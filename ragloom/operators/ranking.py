@@ -93,3 +93,28 @@ def changes(now: DataFrame, before: DataFrame, key: str, text: str) -> DataFrame
     y = before.select(key, F.sha2(text, 256).alias("_then"), F.lit(True).alias("_was"))
     state = F.when(F.col("_was").isNull(), "new").when(F.col("_in").isNull(), "removed").when(F.col("_now").eqNullSafe(F.col("_then")), "unchanged").otherwise("updated")
     return x.join(y, key, "full").select(key, state.alias("state"))
+
+
+#: Words of no weight, and the shares of the five parts of the lexical score.
+STOP_WORDS = "il la di da in con su per tra fra a e o ma se come quando dove che chi cosa".split()
+SHARES = {"overlap": 0.3, "frequency": 0.25, "length": 0.15, "exact": 0.25, "position": 0.05}
+
+
+def lexical_score(query: Column, text: Column, position: Column, total: Column) -> Column:
+    """Points of a candidate: keyword overlap, term frequency, length, exact phrase and position (from 0)."""
+    q, t = F.lower(query), F.lower(text)
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    asked, held = words(q), words(t)
+    share = F.size(F.filter(asked, lambda w: F.array_contains(held, w))) / F.size(asked)
+    overlap = F.when(F.size(asked) == 0, 0.0).when(share >= 0.99, 1.0).otherwise(share)
+    n = F.octet_length(text)
+    times = lambda w: F.when(F.length(w) > 0, (F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).otherwise(0.0)
+    count = F.aggregate(F.split(q, r"\s+"), F.lit(0.0), lambda s, w: s + times(w))
+    frequency = F.least(F.lit(1.0), count / F.greatest(F.lit(1.0), n / 100))
+    length = F.when(n < 100, F.greatest(F.lit(0.7), n / 100)).when(n <= 1_000, 1.0).otherwise(F.greatest(F.lit(0.5), 1_000 / n))
+    phrase = F.trim(q)
+    at = F.transform(F.split(phrase, r"\s+"), lambda w: F.position(w, t))
+    near = (F.array_min(at) > 0) & (F.array_max(at) - F.array_min(at) < 50) & (F.size(at) > 1)
+    exact = F.when(F.contains(t, phrase), 1.0).when(near, 0.8).otherwise(0.0)
+    parts = {"overlap": overlap, "frequency": frequency, "length": length, "exact": exact, "position": 1 - position / total * 0.1}
+    return sum((parts[k] * w for k, w in SHARES.items()), F.lit(0.0))

@@ -1 +1,3 @@
+"""Named queries over the driver's tables; importing this registers all of them."""
 
+from . import registry, dashboards, matching, texts  # noqa: F401, I001

@@ -46,7 +46,7 @@ add("A7_last_day", "events", lambda e: e.agg(F.count_if((F.col("ts") >= F.lit("2
     "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30') AS n FROM events")
 add("A8_feedback", "labels", lambda x: analytics.ratings(x, "quality", {1: "positive", 0: "negative", 2: "neutral"}),
     "SELECT count(quality) AS total, " + ", ".join(f"count(*) FILTER (WHERE quality = {v}) AS {n}, round(100.0::DOUBLE * count(*) FILTER (WHERE quality = {v}) / count(quality), 1) AS {n}_percent" for v, n in ((1, "positive"), (0, "negative"), (2, "neutral"))) + " FROM labels")
-add("A19_json_field", "events", lambda e: e.groupBy(F.json_object_keys("props")[0].alias("key")).agg(F.count("*").alias("n")), "SELECT json_keys(props)[1] AS key, count(*) AS n FROM events GROUP BY 1")
+add("A19_json_field", "events", lambda e: e.groupBy(F.get(F.json_object_keys("props"), 0).alias("key")).agg(F.count("*").alias("n")), "SELECT json_keys(props)[1] AS key, count(*) AS n FROM events GROUP BY 1")
 add("A22_duplicate_groups", "documents", lambda d: analytics.duplicates(d.select(F.sha2("text", 256).alias("content_hash")), ["content_hash"]), "SELECT sha256(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 add("A30_gaps", "events", lambda e: analytics.gaps(e, "user_id", ["ts", "event_id"]), """SELECT user_id, round(avg(gap), 6) AS avg_gap, count(gap) AS gaps FROM (SELECT user_id,
     floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 60000000)::BIGINT AS gap FROM events) GROUP BY 1""")
