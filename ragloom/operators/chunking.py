@@ -118,7 +118,7 @@ def table_lines(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def flat_tables(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, table, line, flat): each data row as ``header: value; …``, by its table's first row."""
-    cells = lambda c: F.transform(F.split(F.regexp_replace(c, r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = lambda c: F.transform(F.split(F.regexp_replace(c, r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x))
     found = table_lines(rows, key, text)
     heads = found.filter("line = 1").select(key, "table", cells(F.col("content")).alias("head"))
     pairs = F.zip_with("head", "row", lambda h, v: F.when(F.length(v) > 0, F.concat_ws(": ", h, v)))

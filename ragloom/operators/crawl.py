@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import resolve
+from ..session import ensure_checkpoints
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -22,6 +23,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     checkpointed (in spark.checkpoint.dir), so plans stay short and levels
     survive lost executors. Empty levels end the walk.
     """
+    ensure_checkpoints(seeds.sparkSession)
     seen = level = seeds.select("url").filter("url is not null").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for depth in range(1, max_depth + 1):
         found = level.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct()

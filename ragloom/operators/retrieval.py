@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +26,48 @@ def top_k(scored: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Most queries and vectors, on average, that one task compares at once.
+QUERY_BLOCK, VECTOR_BLOCK = 1_024, 16_384
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated query set (query_id, q) against all (id, v); the queries are replicated."""
-    q = queries.select("query_id", "q", norm("q").alias("qn"))
-    v = vectors.select("id", "v", norm("v").alias("vn"))
-    pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(dot("q", "v") / (F.col("qn") * F.col("vn")), 6).alias("score"))
-    return top_k(scored, "query_id", k, F.desc("score"), F.col("id"))
+    """Exact cosine top-k of a stated query set (query_id, q) against all other (id, v): with score and rank.
+
+    Both sides are dealt to blocks by a hash of their ids; each pair of blocks
+    is one small matrix product whose k best go on, so nothing is broadcast
+    and no task grows with the input. Null vectors and vectors with null
+    components take no part. Scores have six digits; ties go to the smaller id.
+    """
+
+    def side(rows: DataFrame, key: str, vector: str, size: int) -> tuple[DataFrame, int]:
+        rows = rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector))
+        rows = rows.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+        return rows, max(1, math.ceil(rows.count() / size))
+
+    (q, q_blocks), (v, v_blocks) = side(queries, "query_id", "q", QUERY_BLOCK), side(vectors, "id", "v", VECTOR_BLOCK)
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("_q", block("query_id", q_blocks)).withColumn("_v", every(v_blocks))
+    right = v.withColumn("_v", block("id", v_blocks)).withColumn("_q", every(q_blocks))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        x = np.stack(rows.to_list()).astype(float)
+        return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        ids, own = held["id"].to_numpy(), asked["query_id"].to_numpy()
+        scores = np.round(unit(asked["q"]) @ unit(held["v"]).T, 6)
+        found = []
+        for i, row in enumerate(scores):
+            order = np.lexsort((ids, -row))
+            order = order[ids[order] != own[i]][:k]
+            found.append(pd.DataFrame({"query_id": own[i], "id": ids[order], "score": row[order]}))
+        return pd.concat(found)
+
+    near = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(best, "query_id long, id long, score double")
+    return top_k(near, "query_id", k, F.desc("score"), F.col("id"))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:

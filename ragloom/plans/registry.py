@@ -98,7 +98,6 @@ add("X70_tokens", "documents", lambda d: d.select("doc_id", text.token_estimate(
 add("C4_hard_chunks", "documents", lambda d: text.hard_chunks(d.select("doc_id", "text"), "text", 1_000, 100).select("doc_id", "chunk_index", F.md5("content").alias("digest")),
     "SELECT doc_id, i AS chunk_index, md5(substr(text, i * 900 + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 100) / 900)::INT))) AS i FROM documents WHERE length(text) > 0)")
 add("E13_links", "pages", lambda p: p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("href")), """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages""")
-_Q = "SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 20"
 _LEX = """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2))) AS term FROM benchmark),
     m AS (SELECT query_id, count(*) AS m FROM q GROUP BY 1),
     p AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term FROM documents) WHERE length(term) >= 2 GROUP BY 1, 2),
@@ -112,10 +111,10 @@ def _lexical(b: DataFrame, d: DataFrame) -> DataFrame:
 
 add_many("R1_lexical_top_k", ["benchmark", "documents"], _lexical, _LEX + " SELECT query_id, doc_id, score, rank FROM lex")
 add_many("A25_confidence", ["benchmark", "documents"], lambda b, d: retrieval.confidence(_lexical(b, d)), _LEX + " SELECT query_id, round(least(1.0, greatest(0.0, 10 * sum(score))), 6) AS confidence FROM lex WHERE rank <= 3 GROUP BY 1")
-add("R2_vector_top_k", "embeddings", lambda v: retrieval.vector_top_k(v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10),
+add("R2_vector_top_k", "embeddings", lambda v: retrieval.vector_top_k(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10),
     """SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id,
     round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score
-    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < 20)) WHERE rank <= 10""")
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
 
 
 def _two_lists(b: DataFrame, d: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ add_many("W8_position_scores", ["benchmark", "documents"], lambda b, d: ranking.
     round(1 - (rank - 1)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY query_id) - 1), 6) AS linear FROM lex""")
 add_many("T10_citation_cap", ["benchmark", "documents"], lambda b, d: _lexical(b, d).filter("rank <= 5").select("query_id", "doc_id"), _LEX + " SELECT query_id, doc_id FROM lex WHERE rank <= 5")
 add("R13_diversity", "embeddings", lambda v: ranking.mmr(
-    retrieval.vector_top_k(v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), ranking.MMR_CANDIDATES)
+    retrieval.vector_top_k(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), ranking.MMR_CANDIDATES)
     .join(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"), 5, 0.7), None)
 add("QS5_context", "conversations", lambda c: ranking.pack(c, "conv_id", "text", ["turn", "text"], 1_200).select("conv_id", "parts", F.md5("context").alias("digest")),
     """WITH p AS (SELECT *, length(text) + 5 + coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 7 * greatest(0, row_number() OVER w - 2) <= 1200 AS fits

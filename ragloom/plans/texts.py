@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from .registry import add
+from ..operators import chunking, crawl, ranking, retrieval
+from .registry import add, add_many
 
 add("X15_excerpt", "documents", lambda d: d.select("doc_id", scalars.excerpt(F.col("text"), F.lit(300), 120).alias("excerpt")), """SELECT doc_id, CASE WHEN n <= 120 THEN text ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(text, s + 1, 120) || CASE WHEN s + 120 < n THEN '…' ELSE '' END END AS excerpt
     FROM (SELECT *, length(text) AS n, greatest(0, least(240, length(text) - 120)) AS s FROM documents)""")
@@ -29,3 +31,20 @@ add("E10_emails", "documents", lambda d: d.select("doc_id", F.explode(F.array_di
 add("E14_bare_urls", "documents", lambda d: d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"https?://[A-Za-z0-9./_-]+"), 0))).alias("url")), "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./_-]+')) AS url FROM documents")
 add("E8_label_line", "documents", lambda d: d.select("doc_id", F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("les"))), 0).alias("line")).filter("line is not null"), "SELECT doc_id, line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'les'))[1] AS line FROM documents) WHERE line IS NOT NULL")
 add("X45_resolve", "pages", lambda p: p.select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("href")).select("page_id", "href", scalars.resolve(F.col("href"), F.col("url")).alias("target")), None)
+add("C2_paragraph_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200).select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
+add("C3_sentence_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200, "sentence").select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
+add("C9_without_tables", "documents", lambda d: d.select("doc_id", F.md5(chunking.without_tables(F.col("text"))).alias("digest")), "SELECT doc_id, md5(coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) < 2 AND length(trim(x)) > 0), chr(10)), '')) AS digest FROM documents")
+add("X26_flat_tables", "documents", lambda d: chunking.flat_tables(d, "doc_id", "text"), None)
+add("G1_reach", "pages", lambda p: crawl.reach(crawl.links(p), p.filter("page_id % 50 = 0").select("url"), 2), None)
+
+
+def _reranked(b: DataFrame, d: DataFrame) -> DataFrame:
+    """The lexical ten of every query in the order of the lexical score."""
+    found = retrieval.lexical_top_k(b.select(F.col("item_id").alias("query_id"), "text"), d, 10, most_terms=10_000)
+    texts = found.join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    total = F.count("*").over(Window.partitionBy("query_id"))
+    scored = texts.withColumn("points", F.round(ranking.lexical_score(F.col("query"), F.col("text"), F.col("rank") - 1, total), 6))
+    return ranking.rerank(scored.select("query_id", "doc_id", "points"), "query_id", F.desc("points"), F.col("doc_id"))
+
+
+add_many("R8_lexical_rerank", ["benchmark", "documents"], _reranked, None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if table not in TABLES:
         raise ValueError(f"unknown table {table!r}")
     return spark.read.parquet(f"{sf_dir.rstrip(os.sep)}/{table}.parquet")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder of ``spark.checkpoint.dir``; to a temporary one only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="ragloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
