@@ -65,21 +65,30 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def signed_root(a: int, b: int, n1: int, n0: int) -> float:
+    """Signed root of the likelihood ratio of a counts in n1 and b in n0 against equal shares."""
+    if not n1 or not n0:
+        return 0.0
+    share = (a + b) / (n1 + n0)
+    g = sum(x * math.log(x / (n * share)) for x, n in ((a, n1), (b, n0)) if x)
+    return math.copysign(math.sqrt(max(2 * g, 0.0)), a - n1 * share)
+
+
 def log_odds(counts: list[tuple[str, int, int]], *, prior: float = 1_000.0, z_min: float = 4.0, odds_min: float = 4.0) -> tuple[dict[str, float], float]:
     """Scores of the words that clearly favour toxic texts, and the score of the rest.
 
     counts: (word, contexts in toxic documents, in others). The prior adds
     ``prior`` words to either side, dealt by the words' share of both sides
-    together. A word is kept if its log-odds are ``z_min`` standard errors
-    above zero and its odds reach ``odds_min``.
+    together. A word is kept if the signed root of its likelihood ratio against
+    equal odds, a standard score that holds for words without a single other
+    context too, reaches ``z_min`` and its odds reach ``odds_min``.
     """
     n1, n0 = sum(c[1] for c in counts), sum(c[2] for c in counts)
     kept, gain, share = {}, 0.0, 0.0
     for word, a, b in counts:
         p = prior * (a + b) / max(n1 + n0, 1)
         delta = math.log((a + p) / max(n1 + prior - a - p, 1e-9)) - math.log((b + p) / max(n0 + prior - b - p, 1e-9))
-        z = delta / math.sqrt(1 / (a + p) + 1 / (b + p))
-        if z >= z_min and delta >= math.log(odds_min):
+        if delta >= math.log(odds_min) and signed_root(a, b, n1, n0) >= z_min:
             kept[word] = delta
             share += b / max(n0, 1)
             gain += delta * b / max(n0, 1)
