@@ -30,7 +30,7 @@ from .util import Bloom, keep, slices
 LENGTH = 400
 #: Bytes around an anchor that any string with this anchor contains.
 MARGIN = 24
-#: Long texts are searched in pieces that overlap by more than any context.
+#: Long texts are searched in pieces that overlap by more than two contexts; each owns the anchors up to the middle of an overlap.
 PIECE = 4 << 20
 OVERLAP = 4_096
 BLOCK = 1 << 20
@@ -38,8 +38,9 @@ BUCKET = 8_192
 
 
 def _blocks(keys: list, texts: list[bytes], length: int):
-    """Pieces of texts, at least one string long, in blocks: owners, offsets, bytes, starts, sizes."""
+    """Pieces of texts, at least one string long, in blocks: owners, offsets, first and last owned positions, bytes."""
     own, off, parts, total = [], [], [], 0
+    low, high = [], []
     for k, text in zip(keys, texts, strict=True):
         if len(text) < length:
             continue
@@ -47,13 +48,21 @@ def _blocks(keys: list, texts: list[bytes], length: int):
             part = text[at : at + PIECE + OVERLAP]
             own.append(k)
             off.append(at)
+            low.append(OVERLAP // 2 if at else 0)
+            high.append(PIECE + OVERLAP // 2 if at + len(part) < len(text) else len(part))
             parts.append(part)
             total += len(part)
             if total >= BLOCK:
-                yield own, off, parts
-                own, off, parts, total = [], [], [], 0
+                yield own, off, low, high, parts
+                own, off, low, high, parts, total = [], [], [], [], [], 0
     if parts:
-        yield own, off, parts
+        yield own, off, low, high, parts
+
+
+def _owned(who: np.ndarray, at: np.ndarray, starts: np.ndarray, low: list[int], high: list[int]) -> np.ndarray:
+    """Anchors that belong to their piece; all others belong to a neighbour, which has their whole context."""
+    rel = at - starts[who]
+    return (rel >= np.array(low, np.int64)[who]) & (rel < np.array(high, np.int64)[who])
 
 
 def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,9 +146,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def hashes(batches):
         for batch in slices(batches, 512):
-            for _, _, parts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
-                _, at, h = anchors(*_laid_out(parts), length, margin)
-                h, n = np.unique(h, return_counts=True)
+            for _, _, low, high, parts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+                flat, starts, lens = _laid_out(parts)
+                who, at, h = anchors(flat, starts, lens, length, margin)
+                h, n = np.unique(h[_owned(who, at, starts, low, high)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
     again = rows.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
@@ -149,10 +159,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         """Every selected anchor; the bytes of a context once a task."""
         seen: set[int] = set()
         for batch in slices(batches, 512):
-            for own, off, parts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            for own, off, low, high, parts in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
                 flat, starts, lens = _laid_out(parts)
                 who, at, h = anchors(flat, starts, lens, length, margin)
-                ok = bloom.value.has(h)
+                ok = bloom.value.has(h) & _owned(who, at, starts, low, high)
                 who, at, h = who[ok], at[ok], h[ok]
                 left = np.minimum(at - starts[who], span)
                 right = np.minimum(starts[who] + lens[who] - at, span)

@@ -1,6 +1,16 @@
 from __future__ import annotations
 
-from ragloom.llm import toxicity
+import random
+
+import numpy as np
+
+from ragloom.llm import suffixes, toxicity
+
+rnd = random.Random(5)
+
+
+def letters(n: int) -> str:
+    return "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
 
 
 def test_words_without_a_clean_context_are_kept():
@@ -9,3 +19,28 @@ def test_words_without_a_clean_context_are_kept():
     kept, rest = toxicity.log_odds(counts)
     assert set(kept) == {"idiot"} and kept["idiot"] > 4 and rest < 0
     assert toxicity.log_odds([("a", 5, 0)])[0] == {}
+
+
+def test_pieces_own_the_anchors_of_the_undivided_text(monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 20_000)
+    for n in (24_096, 24_097, 61_000):
+        body = letters(n).encode()
+        whole = suffixes.anchors(*suffixes._laid_out([body]), 400, 24)[1].tolist()
+        got = []
+        for _, off, low, high, parts in suffixes._blocks([1], [body], 400):
+            flat, starts, lens = suffixes._laid_out(parts)
+            who, at, _ = suffixes.anchors(flat, starts, lens, 400, 24)
+            ok = suffixes._owned(who, at, starts, low, high)
+            got += (at - starts[who] + np.array(off)[who])[ok].tolist()
+        assert got == whole
+
+
+def test_pieces_of_a_long_text_are_no_repeats(spark):
+    again = letters(700)
+    long = letters(2 * suffixes.PIECE + suffixes.OVERLAP + 10_000)
+    over = letters(suffixes.PIECE - 300) + again + letters(25_000)
+    rows = [(1, long), (2, over), (3, "#" * 300 + again + "." * 300)]
+    got = {r.doc_id: r for r in suffixes.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].spans == [] and bytes(got[1].kept) == long.encode()
+    assert [(s.start, s.end) for s in got[2].spans] == [(suffixes.PIECE - 300, suffixes.PIECE + 400)]
+    assert [(s.start, s.end) for s in got[3].spans] == [(300, 1_000)]
