@@ -8,7 +8,10 @@ bytes has exactly one anchor, and equal strings have it at the same offset.
 2. Each selected anchor is described by its context, the bytes that strings
    with this anchor can span. Equal contexts are one row from here on.
 3. Sampled splitters range-partition the suffixes by their leading bytes. As
-   equal leading bytes never part, no equal pair straddles a boundary.
+   equal leading bytes never part, no equal pair straddles a boundary. Leading
+   bytes that more than a bucket's rows share go to no bucket: their strings
+   are dealt by hash and counted by Spark, after shorter windows that each
+   string contains have ruled out what can't repeat (see ``_crowded``).
 4. A bucket sorts its suffixes by multikey quicksort; common prefixes with the
    neighbours bound how far a repeat can reach, and the strings within that
    reach are compared. What repeats furthest to the left and to the right
@@ -92,6 +95,14 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
+def _aligned(contexts: list[bytes], left: np.ndarray, span: int) -> np.ndarray:
+    """Contexts as rows with the anchor in the middle."""
+    block = np.zeros((len(contexts), 2 * span), np.uint8)
+    for i, (c, lf) in enumerate(zip(contexts, left.tolist(), strict=True)):
+        block[i, span - lf : span - lf + len(c)] = np.frombuffer(c, np.uint8)
+    return block
+
+
 def reach(contexts: list[bytes], left: np.ndarray, right: np.ndarray, length: int, margin: int) -> tuple[np.ndarray, np.ndarray]:
     """How far the strings around each anchor that occur in another row reach to the left and right (0: none).
 
@@ -99,9 +110,7 @@ def reach(contexts: list[bytes], left: np.ndarray, right: np.ndarray, length: in
     """
     span = length - margin
     n = len(contexts)
-    block = np.zeros((n, 2 * span), np.uint8)
-    for i, (c, lf) in enumerate(zip(contexts, left.tolist(), strict=True)):
-        block[i, span - lf : span - lf + len(c)] = np.frombuffer(c, np.uint8)
+    block = _aligned(contexts, left, span)
     suffix = np.ascontiguousarray(block[:, span - margin :])
     suffix = np.pad(suffix, ((0, 0), (0, -suffix.shape[1] % 8)))
     order = multikey_order(suffix.view(">u8").astype(np.uint64))
@@ -135,10 +144,64 @@ def reach(contexts: list[bytes], left: np.ndarray, right: np.ndarray, length: in
     return out_left, out_right
 
 
-def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, margin: int = MARGIN) -> DataFrame:
+def _crowded(rows: DataFrame, length: int, margin: int) -> DataFrame:
+    """(c, l, r): what ``reach`` finds, for any number of rows with equal leading bytes.
+
+    rows: (c, l, r, lead, context), each c once. Strings that start ``margin``
+    neighbouring positions apart at most share a window of length - margin + 1
+    bytes. Only the strings of windows that occur again are hashed and counted.
+    """
+    span = length - margin
+    up, down = powers(2 * span + 1)
+
+    def sums(batch):
+        left, right = (np.asarray(batch.column(k), np.int64) for k in (1, 2))
+        total = np.zeros((batch.num_rows, 2 * span + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((_aligned(batch.column(4).to_pylist(), left, span).astype(np.uint64) + np.uint64(1)) * up[: 2 * span], axis=1, out=total[:, 1:])
+        return left, right, total
+
+    def hashed(total, able, o, size):
+        at = span - o
+        with np.errstate(over="ignore"):
+            return mix((total[able, at + size] - total[able, at]) * down[at] + mix(np.full(1, o * 1_000 + size, np.uint64))).view(np.int64)
+
+    def windows(left, right, total):
+        """First offset, rows and hashes of each window."""
+        for o in range(margin, span + 1, margin):
+            able = np.flatnonzero((left >= o) & (right >= length - margin + 1 - o))
+            yield o, able, hashed(total, able, o, length - margin + 1)
+
+    def count_windows(batches):
+        for batch in slices(batches, 512):
+            found = [h for _, _, h in windows(*sums(batch))]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+
+    again = rows.mapInArrow(count_windows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    bloom = rows.sparkSession.sparkContext.broadcast(Bloom.of(again))
+
+    def strings(batches):
+        for batch in slices(batches, 512):
+            c = np.asarray(batch.column(0), np.int64)
+            left, right, total = sums(batch)
+            for first, able, h in windows(left, right, total):
+                able = able[bloom.value.has(h)]
+                for o in range(first, min(first + margin, span + 1)):
+                    who = able[(left[able] >= o) & (right[able] >= length - o)]
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(hashed(total, who, o, length)), pa.array(c[who]), pa.array(np.full(len(who), o, np.int64))], names=["h", "c", "o"])
+
+    found = keep(rows.mapInArrow(strings, "h long, c long, o long"))
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    return found.join(twice, "h", "left_semi").groupBy("c").agg(F.max("o").alias("l"), (F.lit(length) - F.min("o")).alias("r"))
+
+
+def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, margin: int = MARGIN, crowd: int = BUCKET) -> DataFrame:
     """(id, spans) of the documents that have a string of ``length`` bytes which starts anywhere else too.
 
     ``spans``: stretches (start, end) around anchors, in bytes, not united.
+    Leading bytes of more than ``crowd`` rows are dealt over tasks, with the same result.
     """
     spark = docs.sparkSession
     span = length - margin
@@ -189,6 +252,20 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     many = many.filter((F.col("n") > 1) & (F.col("l") + F.col("r") >= length)).select("c", "l", "r")
 
     bodies = found.filter("context is not null").select("c", "l", "r", "lead", "context")
+    shared = bodies.groupBy("lead").count().filter(F.col("count") > crowd).toArrow()
+    crowds = np.sort(np.asarray(shared.column("lead").combine_chunks(), np.int64))
+    crowded = spark.sparkContext.broadcast(crowds)
+
+    def part(inside: bool):
+        def run(batches):
+            for batch in batches:
+                ok = np.isin(np.asarray(batch.column(3), np.int64), crowded.value) == inside
+                yield batch.filter(pa.array(ok))
+
+        return bodies.mapInArrow(run, bodies.schema)
+
+    packed = keep(part(True).dropDuplicates(["c"])) if len(crowds) else None
+    bodies = part(False) if len(crowds) else bodies
     n = bodies.count()
     buckets = max(1, n // BUCKET)
     sample = bodies.select("c", "lead").orderBy(F.xxhash64("c"), "c").limit(20_000).toArrow()
@@ -213,6 +290,8 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     placed = bodies.mapInArrow(place, "bucket long, c long, l long, r long, context binary")
     partly = placed.groupBy("bucket").applyInArrow(compare, "c long, l long, r long")
+    if packed is not None:
+        partly = partly.unionByName(_crowded(packed, length, margin))
     extent = partly.unionByName(many).groupBy("c").agg(F.max("l").alias("left"), F.max("r").alias("right"))
     stretches = found.select("c", "id", "pos").join(extent, "c").select("id", F.struct((F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")).alias("span"))
     return stretches.groupBy("id").agg(F.collect_list("span").alias("spans")).withColumnRenamed("id", id_col)

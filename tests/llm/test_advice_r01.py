@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -44,3 +45,22 @@ def test_pieces_of_a_long_text_are_no_repeats(spark):
     assert got[1].spans == [] and bytes(got[1].kept) == long.encode()
     assert [(s.start, s.end) for s in got[2].spans] == [(suffixes.PIECE - 300, suffixes.PIECE + 400)]
     assert [(s.start, s.end) for s in got[3].spans] == [(300, 1_000)]
+
+
+def test_crowded_leads_are_dealt_with_the_same_result(spark):
+    line, line2 = letters(380), letters(399)
+    texts = [letters(500) + line + letters(500) for _ in range(30)] + [letters(500) + line2 + letters(500) for _ in range(30)]
+    tail, both = letters(90), letters(1_200)
+    # some share 24 bytes more on a side, some a long stretch
+    texts += [letters(450) + line + tail + letters(450) for _ in range(5)] + [letters(450) + tail + line2 + letters(450) for _ in range(5)]
+    texts += [letters(i) + both[: 900 + 20 * i] + letters(300) for i in range(1, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    want = {}
+    for k, t in enumerate(texts):
+        if at := {q for p in range(len(t) - 399) if seen[t[p : p + 400]] > 1 for q in range(p, p + 400)}:
+            want[k] = at
+    assert set(range(60, 81)) <= set(want) and len(want) < 80
+    for crowd in (3, suffixes.BUCKET):
+        got = {r.doc_id: {q for s in r.spans for q in range(s.start, s.end)} for r in suffixes.repeated(docs, crowd=crowd).collect()}
+        assert got == want
