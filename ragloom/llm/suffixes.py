@@ -205,7 +205,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     span = length - margin
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text")).filter("id is not null")
 
     def hashes(batches):
         for batch in slices(batches, 512):

@@ -64,3 +64,9 @@ def test_crowded_leads_are_dealt_with_the_same_result(spark):
     for crowd in (3, suffixes.BUCKET):
         got = {r.doc_id: {q for s in r.spans for q in range(s.start, s.end)} for r in suffixes.repeated(docs, crowd=crowd).collect()}
         assert got == want
+
+
+def test_suffixes_leave_null_ids_out(spark):
+    text = letters(900)
+    docs = spark.createDataFrame([(None, text), (1, text + "a"), (2, "b" + text)], "doc_id long, text string")
+    assert {r.doc_id: len(r.spans) for r in suffixes.remove(docs).collect()} == {1: 1, 2: 1}
