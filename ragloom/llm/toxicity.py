@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Tokens score their log-odds between toxic and other labelled documents, both
-smoothed by a Dirichlet prior in proportion to the words' overall counts. One
-linear scan per document finds all maximal scoring segments. Extreme-value
+Every token scores its log-odds between toxic and other labelled documents,
+less a toll. Counts are smoothed by Dirichlet priors in a chain: a word's prior
+is the share of its first seven letters, theirs that of the first four, theirs
+the share of toxic contexts at large; so rare words lean on what begins alike.
+One linear scan per document finds all maximal scoring segments. Extreme-value
 statistics of random texts (lambda and K) turn segment scores into expected
 counts; segments below a threshold are the toxic passages, and a document's
 score is a calibrated logistic of their evidence.
@@ -22,14 +24,38 @@ from pyspark.sql import functions as F
 from .util import crc_mod, slices
 
 WORD = regex.compile(r"\w+")
+#: Lengths of the word beginnings in the chain of priors, and the strength of each prior in contexts.
+STEMS = (4, 7)
+STRENGTH = 10.0
+#: What each token pays, so that random texts drift down.
+TOLL = 1.5
+#: Evidence beyond this adds nothing to a score.
+MOST = 50.0
 
 
 @dataclass(frozen=True)
-class ToxicityModel:
-    """Scores of the words that carry evidence; all other words score ``rest``."""
+class TokenOdds:
+    """Log-odds of words seen in training, and of word beginnings for all others; 0 without either."""
 
     words: dict[str, float]
-    rest: float
+    stems: tuple[dict[str, float], ...]
+
+    def of(self, word: str) -> float:
+        found = self.words.get(word)
+        if found is not None:
+            return found
+        for length, table in zip(reversed(STEMS), reversed(self.stems), strict=True):
+            if len(word) > length and (found := table.get(word[:length])) is not None:
+                return found
+        return 0.0
+
+    def scores(self, toks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.of, toks), float, len(toks)) - TOLL
+
+
+@dataclass(frozen=True)
+class ToxicityModel:
+    odds: TokenOdds
     lam: float
     log_k: float
     bias: float
@@ -65,151 +91,129 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def signed_root(a: int, b: int, n1: int, n0: int) -> float:
-    """Signed root of the likelihood ratio of a counts in n1 and b in n0 against equal shares."""
+def log_odds(counts: dict[str, tuple[int, int]], strength: float = STRENGTH) -> TokenOdds:
+    """Log-odds of all words from their contexts in toxic and in other documents.
+
+    A count pair (a, b) with prior share r stands for the share
+    (a + strength r) / (a + b + strength); the log-odds are those of this share
+    against the share of all toxic contexts.
+    """
+    n1, n0 = sum(a for a, _ in counts.values()), sum(b for _, b in counts.values())
     if not n1 or not n0:
-        return 0.0
-    share = (a + b) / (n1 + n0)
-    g = sum(x * math.log(x / (n * share)) for x, n in ((a, n1), (b, n0)) if x)
-    return math.copysign(math.sqrt(max(2 * g, 0.0)), a - n1 * share)
+        return TokenOdds({}, tuple({} for _ in STEMS))
+    base = n1 / (n1 + n0)
+    chain: list[dict[str, float]] = []
+
+    def prior(word: str, upto: int) -> float:
+        for k in range(upto - 1, -1, -1):
+            if len(word) > STEMS[k]:
+                return chain[k].get(word[: STEMS[k]], base)
+        return base
+
+    for k, length in enumerate(STEMS):
+        sums: dict[str, list[int]] = {}
+        for word, (a, b) in counts.items():
+            if len(word) > length:
+                pair = sums.setdefault(word[:length], [0, 0])
+                pair[0] += a
+                pair[1] += b
+        chain.append({s: (a + strength * prior(s, k)) / (a + b + strength) for s, (a, b) in sums.items()})
+    zero = math.log(base / (1 - base))
+    logit = lambda p: math.log(p / (1 - p)) - zero
+    words = {w: logit((a + strength * prior(w, len(STEMS))) / (a + b + strength)) for w, (a, b) in counts.items()}
+    return TokenOdds(words, tuple({s: logit(p) for s, p in table.items()} for table in chain))
+
+
+def extreme_values(heights: np.ndarray, tokens_seen: int) -> tuple[float, float]:
+    """Lambda and ln K of texts without passages: n tokens have K n e^(-lambda x) segments above x.
+
+    Heights of maximal segments are exponential in random texts, so lambda is
+    one over their mean and K their number per token.
+    """
+    if not len(heights) or not tokens_seen:
+        return 1.0, -math.log(max(tokens_seen, 1))
+    return 1 / max(float(heights.mean()), 1e-9), math.log(len(heights) / tokens_seen)
 
 
-def log_odds(counts: list[tuple[str, int, int]], *, prior: float = 1_000.0, z_min: float = 4.0, odds_min: float = 4.0) -> tuple[dict[str, float], float]:
-    """Scores of the words that clearly favour toxic texts, and the score of the rest.
+def _significant(found: list[tuple[int, int, float]], n: int, lam: float, log_k: float, max_expect: float) -> tuple[float, list[tuple[int, int, float]]]:
+    """Sum of -ln(expected count / max_expect) over significant segments, and those with the logarithm of that count."""
+    log_n, most = log_k + math.log(max(n, 1)), math.log(max_expect)
+    kept = [(s, e, log_n - lam * x) for s, e, x in found if log_n - lam * x <= most]
+    return sum(most - x for *_, x in kept), kept
 
-    counts: (word, contexts in toxic documents, in others). The prior adds
-    ``prior`` words to either side, dealt by the words' share of both sides
-    together. A word is kept if the signed root of its likelihood ratio against
-    equal odds, a standard score that holds for words without a single other
-    context too, reaches ``z_min`` and its odds reach ``odds_min``.
-    """
-    n1, n0 = sum(c[1] for c in counts), sum(c[2] for c in counts)
-    kept, gain, share = {}, 0.0, 0.0
-    for word, a, b in counts:
-        p = prior * (a + b) / max(n1 + n0, 1)
-        delta = math.log((a + p) / max(n1 + prior - a - p, 1e-9)) - math.log((b + p) / max(n0 + prior - b - p, 1e-9))
-        if delta >= math.log(odds_min) and signed_root(a, b, n1, n0) >= z_min:
-            kept[word] = delta
-            share += b / max(n0, 1)
-            gain += delta * b / max(n0, 1)
-    rest = -max(0.25, 2 * gain / max(1 - share, 1e-9))  # a random text's drift is below zero
-    return kept, rest
-
-
-def karlin(probs: np.ndarray, scores: np.ndarray) -> float:
-    """The positive root of sum(p e^(lambda s)) = 1; needs a negative mean and some s > 0."""
-    if not (scores > 0).any():
-        return 1.0
-    low, high = 0.0, 1.0
-    while (probs * np.exp(high * scores)).sum() < 1:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        if (probs * np.exp(mid * scores)).sum() < 1:
-            low = mid
-        else:
-            high = mid
-    return (low + high) / 2
-
-
-def _evidence(text: str | None, words: dict[str, float], rest: float, lam: float, log_k: float, max_expect: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """Sum of -ln(expected count / max_expect) over significant segments, and those (in tokens)."""
-    toks = tokens(text)
-    if not toks or words.keys().isdisjoint(toks):
-        return 0.0, []
-    get = words.get
-    found = segments(np.fromiter((get(t, rest) for t in toks), float, len(toks)))
-    log_n = log_k + math.log(len(toks))
-    kept, total = [], 0.0
-    for s, e, score in found:
-        log_e = log_n - lam * score
-        if log_e <= math.log(max_expect):
-            kept.append((s, e, log_e))
-            total += math.log(max_expect) - log_e
-    return total, kept
-
-
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, vocabulary: int = 50_000, max_expect: float = 1.0) -> ToxicityModel:
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Bias and slope by Newton steps, with a small ridge on the slope."""
+    bias, slope = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.5
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(bias + slope * x, -30, 30)))
+        g = np.array([(p - y).sum(), ((p - y) * x).sum() + 0.1 * slope])
+        q = p * (1 - p) + 1e-9
+        d = np.linalg.solve(np.array([[q.sum(), (q * x).sum()], [(q * x).sum(), (q * x * x).sum() + 0.1]]), g)
+        bias, slope = bias - float(np.clip(d[0], -2, 2)), slope - float(np.clip(d[1], -2, 2))
+        if abs(d).max() < 1e-9:
+            break
+    return bias, max(slope, 0.0)
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, max_expect: float = 0.01) -> ToxicityModel:
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    Bounds: at most ``sample_rows`` labelled ids, those with the lowest hash,
-    and the ``vocabulary`` words with the most contexts (at least two). A word
-    counts once for each pair of neighbours that it has, so that copies of one
-    text count as one. Null labels are left out;
-    an id with several labels counts with its largest. Without labelled rows
-    of both kinds every document scores the same.
+    Bound: at most ``sample_rows`` labelled ids, those with the lowest hash;
+    all words of their whole texts count. A word counts once for each pair of
+    neighbours that it has, so that copies of one text count as one. Lambda, K
+    and the logistic come from halves: either half is scored with the words of
+    the other. Null labels are left out; an id with several labels counts with
+    its largest. Without labelled rows of both kinds every document scores the
+    same.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)))
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("y", "half", "text")
 
     def once(batches):
-        for batch in batches:
-            words, ys = [], []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in slices(batches, 64):
+            words, ys, halves = [], [], []
+            for y, half, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 toks = tokens(text)
                 own = set(zip(toks, ["", *toks], [*toks[1:], ""], strict=False))
                 words += own
                 ys += [y] * len(own)
+                halves += [half] * len(own)
             word, before, after = zip(*words, strict=True) if words else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (word, before, after)] + [pa.array(ys, pa.int32())], names=["word", "before", "after", "y"])
-
-    sample = rows.select("y", "text")
-    contexts = sample.mapInArrow(once, "word string, before string, after string, y int").distinct()
-    counts = contexts.groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("a"), F.count("*").alias("n"))
-    got = counts.filter("n >= 2").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    words, rest = log_odds([(r.word, r.a, r.n - r.a) for r in got])
-    held = spark.sparkContext.broadcast(words)
-
-    def lengths(batches):
-        for batch in batches:
-            ys, n, best = [], [], []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                toks = tokens(text)
-                get = held.value.get
-                hit = toks and not held.value.keys().isdisjoint(toks)
-                found = segments(np.fromiter((get(t, rest) for t in toks), float, len(toks))) if hit else []
-                ys.append(y)
-                n.append(len(toks))
-                best.append([s for *_, s in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(n, pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["y", "n", "best"])
-
-    seen = sample.mapInArrow(lengths, "y int, n long, best array<double>").collect()
-    n0 = sum(r.n for r in seen if r.y == 0)
-    hits = sum(len(r.best) for r in seen if r.y == 0)
-    if not words or not n0:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (word, before, after)] + [pa.array(ys, pa.int32()), pa.array(halves, pa.int64())], names=["word", "before", "after", "y", "half"])
+
+    contexts = sample.mapInArrow(once, "word string, before string, after string, y int, half long")
+    contexts = contexts.select("half", "y", "word", F.xxhash64("before", "word", "after").alias("context")).distinct()
+    table = contexts.groupBy("word", "half").agg(F.sum(F.col("y").cast("long")).alias("a"), F.count("*").alias("n")).toArrow()
+    halves: tuple[dict, dict] = {}, {}
+    every: dict[str, tuple[int, int]] = {}
+    for word, half, a, n in zip(*(table.column(k).to_pylist() for k in range(4)), strict=True):
+        halves[half][word] = a, n - a
+        was = every.get(word, (0, 0))
+        every[word] = was[0] + a, was[1] + n - a
+    odds = log_odds(every)
+    held = [spark.sparkContext.broadcast(log_odds(counts)) for counts in reversed(halves)]
+
+    def heights(batches):
+        for batch in slices(batches, 64):
+            ys, halves = (batch.column(k).to_pylist() for k in range(2))
+            toks = [tokens(t) for t in batch.column(2).to_pylist()]
+            best = [[x for *_, x in segments(held[half].value.scores(t))] for half, t in zip(halves, toks, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(list(map(len, toks)), pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["y", "n", "best"])
+
+    seen = sample.mapInArrow(heights, "y int, n long, best array<double>").collect()
+    clean = [r for r in seen if r.y == 0]
+    n0 = sum(r.n for r in clean)
+    if not odds.words or not n0:
         share = sum(r.y for r in seen) / len(seen) if seen else 0.5
-        return ToxicityModel({}, -1.0, 1.0, 0.0, math.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, max_expect)
-    # what random tokens score: the words' shares among documents that aren't toxic
-    total = sum(r.n - r.a for r in got) or 1
-    probs = np.array([(r.n - r.a) / total for r in got if r.word in words] or [0.0])
-    scores = np.array([words[r.word] for r in got if r.word in words] or [1.0])
-    probs = np.append(np.maximum(probs, 1e-7), 0.0)
-    probs[-1] = 1 - probs.sum()
-    lam = karlin(probs, np.append(scores, rest))
-    # K by the mean count of segments in texts that aren't toxic: hits = K n E[e^(-lambda x)]
-    heights = [math.exp(-lam * s) for r in seen if r.y == 0 for s in r.best]
-    log_k = math.log(max(hits, 1) / n0) - math.log(max(np.mean(heights), 1e-12)) if heights else -math.log(n0)
-
-    def evidence(r) -> float:
-        at = log_k + math.log(max(r.n, 1)) - math.log(max_expect)
-        return sum(max(0.0, lam * s - at) for s in r.best)
-
-    x = np.array([min(evidence(r), 50.0) for r in seen])
-    y = np.array([r.y for r in seen], float)
-    bias, slope = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.5
-    for _ in range(200):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(bias + slope * x, -30, 30)))
-        g = np.array([(p - y).sum() + 0.1 * bias * 0, ((p - y) * x).sum() + 0.1 * slope])
-        q = p * (1 - p) + 1e-9
-        h = np.array([[q.sum(), (q * x).sum()], [(q * x).sum(), (q * x * x).sum() + 0.1]])
-        d = np.linalg.solve(h, g)
-        bias, slope = bias - float(np.clip(d[0], -2, 2)), slope - float(np.clip(d[1], -2, 2))
-        if abs(d).max() < 1e-9:
-            break
-    return ToxicityModel(words, rest, lam, log_k, bias, max(slope, 0.0), max_expect)
+        return ToxicityModel(odds, 1.0, 0.0, math.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0.0, max_expect)
+    lam, log_k = extreme_values(np.array([x for r in clean for x in r.best]), n0)
+    x = np.array([min(_significant([(0, 0, s) for s in r.best], r.n, lam, log_k, max_expect)[0], MOST) for r in seen])
+    bias, slope = _logistic(x, np.array([r.y for r in seen], float))
+    return ToxicityModel(odds, lam, log_k, bias, slope, max_expect)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,8 +232,9 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
         for batch in slices(batches, 256):
             out, spans = [], []
             for text in batch.column(1).to_pylist():
-                x, kept = _evidence(text, m.words, m.rest, m.lam, m.log_k, m.max_expect)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * min(x, 50.0))))))
+                toks = tokens(text)
+                x, kept = _significant(segments(m.odds.scores(toks)), len(toks), m.lam, m.log_k, m.max_expect)
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.bias + m.slope * min(x, MOST))))))
                 spans.append([{"start": s, "end": e, "log_expect": v} for s, e, v in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(spans, kind)], names=["id", "score", "passages"])
 

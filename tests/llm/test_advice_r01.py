@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 
-from ragloom.llm import suffixes, toxicity
+from ragloom.llm import quality, suffixes, toxicity
 
 rnd = random.Random(5)
 
@@ -14,12 +15,36 @@ def letters(n: int) -> str:
     return "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
 
 
-def test_words_without_a_clean_context_are_kept():
-    # 156 of 111,200 toxic contexts and none of 802,310 others: smoothed z-scores of such words are below 4
-    counts = [("the", 4_000, 28_000), ("idiot", 156, 0), ("rare", 1, 0), ("clean", 0, 200), ("x", 107_043, 774_110)]
-    kept, rest = toxicity.log_odds(counts)
-    assert set(kept) == {"idiot"} and kept["idiot"] > 4 and rest < 0
-    assert toxicity.log_odds([("a", 5, 0)])[0] == {}
+def test_words_without_a_clean_context_score_high():
+    # 156 of 111,200 toxic contexts and none of 802,310 others
+    odds = toxicity.log_odds({"the": (4_000, 28_000), "idiot": (156, 0), "rare": (1, 0), "clean": (0, 200), "x": (107_043, 774_110)})
+    assert odds.of("idiot") > 4 > 1 > odds.of("rare") > 0 > odds.of("clean") and abs(odds.of("the")) < 0.1
+    assert odds.of("unseen") == 0 and toxicity.log_odds({"a": (5, 0)}).of("a") == 0
+    # a word that was never seen leans on its beginning
+    odds = toxicity.log_odds({f"bomente{k}": (2, 0) for k in "abcdefgh"} | {"x": (900, 9_000)})
+    assert odds.of("bomentexyz") > 1.5 and odds.of("bo") == 0
+
+
+def test_segments_against_all_stretches():
+    """Maximal segments by their definition: proper prefixes and suffixes score above zero, and no longer stretch does so."""
+    for _ in range(200):
+        s = [rnd.choice([-3, -2, -1, 1, 2, 3]) + rnd.random() / 8 for _ in range(rnd.randrange(0, 14))]
+        n = len(s)
+        good = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if all(sum(s[i:k]) > 0 for k in range(i + 1, j + 1)) and all(sum(s[k:j]) > 0 for k in range(i, j))]
+        want = [(i, j) for i, j in good if not any(a <= i and j <= b and (a, b) != (i, j) for a, b in good)]
+        got = toxicity.segments(np.array(s))
+        assert [(a, b) for a, b, _ in got] == sorted(want)
+        assert all(abs(x - sum(s[a:b])) < 1e-9 for a, b, x in got)
+
+
+def test_held_out_labels_are_never_read(spark):
+    texts = [" ".join(rnd.choices(["ab", "cd", "ef", "gh", "vile"] if i % 4 == 0 else ["ab", "cd", "ef", "gh"], k=40)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    labels = [(i, int("vile" in t)) for i, t in enumerate(texts)]
+    for learn, score, n, rest in ((toxicity.learn, toxicity.score, 5, 0), (quality.learn, quality.score, 3, 1)):
+        turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % n == rest else y) for i, y in labels]
+        got = [sorted((r.doc_id, r.score) for r in score(docs, learn(docs, spark.createDataFrame([(i, y, y) for i, y in x], "doc_id long, toxic int, quality int"))).collect()) for x in (labels, turned)]
+        assert turned != labels and got[0] == got[1]
 
 
 def test_pieces_own_the_anchors_of_the_undivided_text(monkeypatch):
