@@ -42,7 +42,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # shuffle files of finished steps go when the driver finds them unused
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_to
+        _delete(spark, path)
+        _written.remove((spark, path))
 
 
 @contextlib.contextmanager
@@ -66,15 +76,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
+        with contextlib.suppress(Exception):  # the session may be gone at exit
+            _delete(spark, path)
 
 
 def crc_mod(col: str, n: int) -> Column:
@@ -101,35 +112,55 @@ def slices(batches, rows: int = 128):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Forests of up to so many edges are finished by one task (16 MB of edges); larger ones shrink by rounds first.
+ONE_TASK = 1 << 20
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while (p := parent.get(x, x)) != x:
+        parent[x] = parent.get(p, p)
+        x = p
+    return x
+
+
+def _unite(parent: dict[int, int], batch: pa.RecordBatch) -> None:
+    """Unite the ends of all edges; roots are the smallest members."""
+    for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        x, y = _root(parent, x), _root(parent, y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+
+
+def _stars(parent: dict[int, int]) -> pa.RecordBatch:
+    """An edge from every node to its root."""
+    roots = [_root(parent, x) for x in parent]
+    return pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array(roots, pa.int64())], names=["u", "v"])
+
+
 def _local_forest(batches):
     """A spanning forest of the edges that one task reads, block by block."""
     for batch in batches:
-        a = batch.column(0).to_numpy()
-        b = batch.column(1).to_numpy()
         parent: dict[int, int] = {}
+        _unite(parent, batch)
+        yield _stars(parent)
 
-        def root(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = parent.get(p, p)
-                x = p
-            return x
 
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        src = np.fromiter(parent.keys(), np.int64, len(parent))
-        dst = np.fromiter((root(x) for x in parent), np.int64, len(parent))
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["u", "v"])
+def _whole_forest(batches):
+    """Every node of all edges with the smallest node it reaches."""
+    parent: dict[int, int] = {}
+    for batch in batches:
+        _unite(parent, batch)
+    yield _stars(parent)
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every node of the edge table; component = smallest reachable id.
 
-    Edges are first reduced to local forests, then large-star and small-star
-    rounds run until nothing changes. Minima are pre-aggregated before each
-    shuffle, so a node with very many links stays one row per map task; each
-    round is written to the shared folder. An empty edge table gives no rows.
+    Edges are first reduced to local forests. While more than ``one_task`` are
+    left, large-star and small-star rounds run until nothing changes; minima are
+    pre-aggregated before each shuffle, so a node with very many links stays one
+    row per map task, and each round is written to the shared folder. What is
+    small enough is finished by one task. An empty edge table gives no rows.
     """
     e = (
         edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
@@ -137,8 +168,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
         .mapInArrow(_local_forest, "u long, v long")
     )
     e = materialize(e.distinct(), "cc")
-    before = None
+    before, left = None, e.count()
     for _ in range(max_rounds):
+        if left <= one_task:
+            done = materialize(e.coalesce(1).mapInArrow(_whole_forest, "u long, v long"), "cc")
+            drop(e)
+            e = done
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -149,11 +185,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")
         )
-        e = materialize(small.select("x.*").filter("u <> v").distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        new = materialize(small.select("x.*").filter("u <> v").distinct(), "cc")
+        drop(e)
+        e = new
+        left, now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (left, now) == before:
             break
-        before = now
+        before = left, now
     else:
         raise RuntimeError("connected components did not settle")
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
