@@ -60,13 +60,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     Size is the number of words, 0 for null texts, which are taken 0 times.
     A null source is a source of its own, last in order. The order of equal
     finish times is that of sources, then ids, then passes, so reruns agree;
-    rows that are alike in id and size are interchangeable. The documents taken
+    rows that are alike in id and size are interchangeable, and null ids are ids
+    like any other. The documents taken
     are a prefix of the order whose words do not exceed the budget. An empty
     table gives no rows. Other columns are not read.
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     # 40 bits of a digest: the shuffled place of a document in its source
-    place = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("id").cast("string"))), 1, 10), 16, 10).cast("long")
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 10), 16, 10).cast("long")
     sized = materialize(sized.withColumn("place", place), "mix-sizes")
     src = materialize(targets(sized, weights=weights, share=share, most=most), "mix-sources")
     bins = F.greatest(F.lit(1), F.ceil(F.col("docs") / BIN_ROWS))
@@ -109,40 +110,53 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     run = Window.orderBy(*order, "size").rowsBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("words", F.sum("size").over(run)).filter(F.col("words") > budget - taken).orderBy(*order).limit(1).select(*order).first()
     # everything before the first item that does not fit
-    stop = [F.lit(last[c]) for c in order]
+    last = [last[c] for c in order]
+    stop = [F.lit(x) for x in last]
 
     def fits(k: int):
         at = (F.lit(k) * F.col("source_size") + F.col("upto")) / F.col("target")
         cols = [at, F.col("sid"), F.col("id"), F.lit(k)]
         less = F.lit(False)
-        for c, s in reversed(list(zip(cols, stop, strict=True))):
-            less = (c < s) | ((c == s) & less)
+        for c, s, value in reversed(list(zip(cols, stop, last, strict=True))):  # null ids come first
+            less = F.coalesce(c < s, c.isNull() & F.lit(value is not None)) | (c.eqNullSafe(s) & less)
         return F.when(F.col("target") > 0, less).otherwise(F.lit(False)).cast("long")
 
     times = sum((fits(k) for k in range(1, most)), fits(0))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, times).otherwise(0).cast("long").alias("times"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (ids must be unique)."""
-    times = mixed.filter("times > 0").select(F.col(id_col).alias("_id"), F.col("times").cast("int").alias("_times"))
-    out = docs.join(times.hint("shuffle_hash"), docs[id_col] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(*(docs[c] for c in docs.columns))
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as ``mix`` takes them.
+
+    Rows are told apart by id, source and a hash of the text, so ids may repeat
+    or be null; rows that are alike in all columns are taken as often as they
+    are together. Columns may have any names. ``how`` goes to ``mix``.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(source_col, text_col)))
+    mixed = mix(docs.select(name.alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), id_col="key", text_col="text", source_col="source", **how)
+    per = materialize(mixed.groupBy("key").agg(F.sum("times").cast("int").alias("times"), F.count("*").alias("n")).filter("times > 0"), "mix-times")
+    rows = docs.select(name.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = rows.join(per.filter("n = 1").select("key", "times").hint("shuffle_hash"), "key").select("row", "times")
+    again = per.filter("n > 1")
+    if not again.isEmpty():
+        alike = rows.join(again.select("key", "times").hint("shuffle_hash"), "key").groupBy("row", "times").agg(F.count("*").alias("n"))
+        taken = taken.unionByName(alike.select("row", "times"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE_SQL = f"""
 WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size,
-    ('0x' || substr(md5('mix' || doc_id::VARCHAR), 1, 10))::BIGINT AS place FROM documents),
+    ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS place FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s GROUP BY source),
 w AS (SELECT *, (CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight, (2 * source_size)::BIGINT AS cap FROM src),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM w
     WINDOW o AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT coalesce((SELECT level FROM l WHERE level <= cap / weight ORDER BY cap / weight, sid LIMIT 1), 1e300) AS level),
 t AS (SELECT source, sid, source_size, least(m.level * weight, cap::DOUBLE) AS target FROM w, m),
-r AS (SELECT doc_id, size, sid, source_size, target, sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+r AS (SELECT doc_id, size, sid, source_size, target, sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
     FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 i AS (SELECT doc_id, size, sid, p, (p * source_size + upto) / target AS finish FROM r, (VALUES (0), (1)) AS x(p) WHERE size > 0 AND target > 0),
-c AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, sid, doc_id, p, size ROWS UNBOUNDED PRECEDING) AS words FROM i),
+c AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, sid, doc_id NULLS FIRST, p, size ROWS UNBOUNDED PRECEDING) AS words FROM i),
 k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM c WHERE words <= (SELECT sum(source_size) * 1.5 FROM src) GROUP BY 1)
-SELECT r.doc_id, r.size::BIGINT AS size, r.source_size, r.target, coalesce(k.taken, 0)::BIGINT AS taken FROM r LEFT JOIN k USING (doc_id)
+SELECT r.doc_id, r.size::BIGINT AS size, r.source_size, r.target, coalesce(k.taken, 0)::BIGINT AS taken FROM r LEFT JOIN k ON r.doc_id IS NOT DISTINCT FROM k.doc_id
 """
