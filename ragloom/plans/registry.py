@@ -23,6 +23,12 @@ def add(name: str, table: str, build: Callable[[DataFrame], DataFrame], sql: str
         ORACLE[name] = sql
 
 
+def add_inline(name: str, tables: dict[str, str], build: Callable[..., DataFrame], sql: str) -> None:
+    """A query over small tables that are given as SQL text, the same for Spark and DuckDB, in the shape of settings and requests."""
+    QUERIES[name] = lambda spark, sf_dir: build(*(spark.sql(t) for t in tables.values()))
+    ORACLE[name] = "WITH " + ", ".join(f"{k} AS ({t})" for k, t in tables.items()) + f" {sql}"
+
+
 def add_many(name: str, tables: list[str], build: Callable[..., DataFrame], sql: str | None) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(*(load(spark, sf_dir, t) for t in tables))
     if sql:
