@@ -49,7 +49,8 @@ def is_italian(text: Column) -> Column:
 
 
 def is_scripted(html: Column) -> Column:
-    return F.array_max(F.array(*(F.contains(html, F.lit(m)) for m in SCRIPTED)))
+    low = F.lower(html)
+    return F.array_max(F.array(*(F.contains(low, F.lit(m)) for m in SCRIPTED)))
 
 
 def device(agent: Column) -> Column:

@@ -11,6 +11,8 @@ SEPARATOR = "\n\n---\n\n"
 #: What a part needs besides its length, and the most candidates that diversity looks at.
 PART_MARGIN = 5
 MMR_CANDIDATES = 15
+#: A similarity beyond which no later one is looked at.
+ENOUGH = 0.95
 
 
 def rerank(rows: DataFrame, by: str, *order: Column) -> DataFrame:
@@ -30,12 +32,18 @@ def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x @ y.T / norms
 
 
+def _nearest(similarities: np.ndarray) -> float:
+    """The largest similarity, from 0 up, or the first above ENOUGH in the order of selection."""
+    above = np.flatnonzero(similarities > ENOUGH)
+    return float(max([0.0, *(similarities[: above[0] + 1] if len(above) else similarities)]))
+
+
 def mmr(candidates: DataFrame, k: int, weight: float) -> DataFrame:
     """Greedy maximal marginal relevance over (query_id, id, q, v, rank): (query_id, id, position).
 
     Looks at the first MMR_CANDIDATES of each query, which bounds a group. Of
     equal scores the earlier candidate wins; similarity to what is selected
-    counts from 0 up. A weight of 0.99 or more is a plain sort by similarity.
+    counts from 0 up, and as the first above ENOUGH if there is one. A weight of 0.99 or more is a plain sort by similarity.
     """
 
     def select(rows: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +55,7 @@ def mmr(candidates: DataFrame, k: int, weight: float) -> DataFrame:
         else:
             each, chosen, left = _cosine(v, v), [], list(range(len(v)))
             while left and len(chosen) < k:
-                best = max(left, key=lambda i: weight * near[i] - (1 - weight) * max([0.0, *each[i, chosen]]))
+                best = max(left, key=lambda i: weight * near[i] - (1 - weight) * _nearest(each[i, chosen]))
                 chosen.append(best)
                 left.remove(best)
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "id": rows["id"].to_numpy()[chosen], "position": np.arange(1, len(chosen) + 1)})

@@ -70,21 +70,29 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return top_k(near, "query_id", k, F.desc("score"), F.col("id"))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n): occurrences of every term."""
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, term, n): occurrences of every term, or of those in ``only`` (term).
+
+    Terms that nobody asks for go before anything is counted or shuffled; a
+    small ``only`` is broadcast by Spark's own check of its size.
+    """
     words = F.explode(F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")), " "))
-    return docs.select(key, words.alias("term")).filter("length(term) >= 2").groupBy(key, "term").agg(F.count("*").alias("n"))
+    rows = docs.select(key, words.alias("term")).filter("length(term) >= 2")
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, *, most_terms: int = 60) -> DataFrame:
+def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, *, most_terms: int | None = None) -> DataFrame:
     """OR query rank: the mean over the query's terms of 0.1 * H2(n) / 1.64493406685.
 
-    H2(n) is the sum of 1/j^2 for j up to n, the occurrences of the term.
+    H2(n) is the sum of 1/j^2 for j up to n, the occurrences of the term. A
+    query has its first ``most_terms`` distinct terms, or all.
     """
     asked = queries.select("query_id", terms(F.col("text"), most_terms).alias("terms"))
     asked = asked.select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
     h2 = F.expr("aggregate(sequence(1, int(n)), 0D, (s, j) -> s + 1D / (j * j))")
-    hits = postings(docs, "doc_id", "text").join(asked, "term").select("query_id", "doc_id", "m", "term", h2.alias("h"))
+    hits = postings(docs, "doc_id", "text", asked).join(asked, "term").select("query_id", "doc_id", "m", "term", h2.alias("h"))
     score = F.round(F.sum("h") * 0.1 / 1.64493406685 / F.max("m"), 6)
     return top_k(hits.groupBy("query_id", "doc_id").agg(score.alias("score")), "query_id", k, F.desc("score"), F.col("doc_id"))
 

@@ -44,10 +44,11 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def terms(text: Column, most: int = 60) -> Column:
-    """Lower-cased words of two characters at least, distinct, in order, capped."""
+def terms(text: Column, most: int | None = 60) -> Column:
+    """Lower-cased words of two characters at least, distinct, in order; the first ``most``, or all."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
-    return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2)), 1, most)
+    found = F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def snippet(text: Column, most: int) -> Column:

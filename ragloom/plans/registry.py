@@ -112,7 +112,7 @@ _LEX = """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filte
 
 
 def _lexical(b: DataFrame, d: DataFrame) -> DataFrame:
-    return retrieval.lexical_top_k(b.select(F.col("item_id").alias("query_id"), "text"), d, 10, most_terms=10_000)
+    return retrieval.lexical_top_k(b.select(F.col("item_id").alias("query_id"), "text"), d, 10)
 
 
 add_many("R1_lexical_top_k", ["benchmark", "documents"], _lexical, _LEX + " SELECT query_id, doc_id, score, rank FROM lex")
@@ -157,4 +157,4 @@ add_many("G7_mismatch", ["embeddings", "documents"], lambda v, d: v.select(F.col
     "SELECT coalesce(vec_id, doc_id) AS id, CASE WHEN vec_id IS NULL THEN 'no vector' ELSE 'no document' END AS problem FROM embeddings FULL JOIN documents ON vec_id = doc_id WHERE vec_id IS NULL OR doc_id IS NULL")
 add("ST1_daily_counts", "events", lambda e: counters.daily_counts(e, ["event_type"]), "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add("ST4_alerts", "events", lambda e: counters.alerts(e, F.col("value"), 90.0).select("event_id"), "SELECT event_id FROM events WHERE value > 90")
-add("ST5_rate_limit", "events", lambda e: counters.over_limit(e, ["event_type"], 1), "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+add("ST5_rate_limit", "events", lambda e: counters.over_limit(e, ["user_id", "event_type"], 1), "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour_start, user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1")

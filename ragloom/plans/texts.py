@@ -13,14 +13,14 @@ add("X15_excerpt", "documents", lambda d: d.select("doc_id", scalars.excerpt(F.c
     FROM (SELECT *, length(text) AS n, greatest(0, least(240, length(text) - 120)) AS s FROM documents)""")
 add("X17_word_safe", "documents", lambda d: d.select("doc_id", scalars.word_safe(F.col("text"), 200).alias("cut")), """SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN p > 0 AND 200 - p > 160 THEN substr(c, 1, (200 - p)::BIGINT) || '...' ELSE c || '...' END AS cut
     FROM (SELECT *, substr(text, 1, 200) AS c, instr(reverse(substr(text, 1, 200)), ' ') AS p FROM documents)""")
-add("X21_noise", "benchmark", lambda d: d.select("item_id", F.md5(scalars.without_noise(F.col("text"))).alias("digest")), r"""SELECT item_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Pagina\s+\d+(\s+di\s+\d+)?', '', 'gi'),
-    'Page\s+\d+(\s+of\s+\d+)?', '', 'gi'), '[-_]{5,}', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\x{00A0}]{5,}', ' ', 'g'), '(?m)^[.\-=\s]+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM benchmark""")
-add("X38_scripted", "pages", lambda p: p.select("page_id", scalars.is_scripted(F.col("html")).alias("scripted")), "SELECT page_id, " + " OR ".join(f"contains(html, '{m}')" for m in scalars.SCRIPTED) + " AS scripted FROM pages")
+add("X21_noise", "documents", lambda d: d.select("doc_id", F.md5(scalars.without_noise(F.col("text"))).alias("digest")), r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Pagina\s+\d+(\s+di\s+\d+)?', '', 'gi'),
+    'Page\s+\d+(\s+of\s+\d+)?', '', 'gi'), '[-_]{5,}', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\x{00A0}]{5,}', ' ', 'g'), '(?m)^[.\-=\s]+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""")
+add("X38_scripted", "pages", lambda p: p.select("page_id", scalars.is_scripted(F.col("html")).alias("scripted")), "SELECT page_id, " + " OR ".join(f"contains(lower(html), '{m}')" for m in scalars.SCRIPTED) + " AS scripted FROM pages")
 add("X46_slug", "pages", lambda p: p.select("page_id", scalars.slug(F.col("url")).alias("slug")), r"""SELECT page_id, CASE WHEN len(p) = 0 THEN 'index' ELSE substr(array_to_string(list_transform(CASE WHEN len(p) > 3 THEN p[len(p) - 2:] ELSE p END, lambda x: substr(regexp_replace(x, '[^a-z0-9]+', '-', 'g'), 1, 15)), '-'), 1, 60) END AS slug
     FROM (SELECT page_id, list_filter(string_split(lower(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', ''), '[?#].*$', '')), '/'), lambda x: length(x) > 0) AS p FROM pages)""")
 add("X50_blend", "embeddings", lambda v: v.select("vec_id", F.round(F.aggregate(F.zip_with("embedding", F.reverse("embedding"), lambda a, b: 0.6 * a.cast("double") + 0.4 * b.cast("double")), F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy")),
     "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: (0.6::DOUBLE * x[1]::DOUBLE + 0.4::DOUBLE * x[2]::DOUBLE) * (0.6::DOUBLE * x[1]::DOUBLE + 0.4::DOUBLE * x[2]::DOUBLE))), 6) AS energy FROM embeddings")
-add("X65_italian", "benchmark", lambda d: d.select("item_id", scalars.is_italian(F.col("text")).alias("italian")), "SELECT item_id, " + " + ".join(rf"regexp_matches(lower(text), '\b{w}\b')::INT" for w in scalars.ITALIAN) + " >= 3 AS italian FROM benchmark")
+add("X65_italian", "documents", lambda d: d.select("doc_id", scalars.is_italian(F.col("text")).alias("italian")), "SELECT doc_id, " + " + ".join(rf"regexp_matches(lower(text), '\b{w}\b')::INT" for w in scalars.ITALIAN) + " >= 3 AS italian FROM documents")
 add("X72_answer_key", "conversations", lambda c: c.select("conv_id", "turn", F.concat(F.lit("t1:"), "role", F.lit(":"), F.substring(F.sha2("text", 256), 1, 16)).alias("key")), "SELECT conv_id, turn, 't1:' || role || ':' || substr(sha256(text), 1, 16) AS key FROM conversations")
 add("X73_duration", "part", lambda p: p.select("p_partkey", scalars.duration((F.col("p_partkey") * 7 % 200).cast("long")).alias("took")), "SELECT p_partkey, CASE WHEN m = 0 THEN 'N/A' WHEN m >= 60 THEN (m // 60) || 'h ' || (m % 60) || 'm' ELSE m || 'm' END AS took FROM (SELECT p_partkey, p_partkey * 7 % 200 AS m FROM part)")
 add("X74_overdue", "orders", lambda o: o.select("o_orderkey", ((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp_ntz"))).alias("overdue")), "SELECT o_orderkey, o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '2001-07-01' AS overdue FROM orders")
@@ -35,12 +35,12 @@ add("C2_paragraph_chunks", "documents", lambda d: chunking.chunks(d.select("doc_
 add("C3_sentence_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200, "sentence").select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
 add("C9_without_tables", "documents", lambda d: d.select("doc_id", F.md5(chunking.without_tables(F.col("text"))).alias("digest")), "SELECT doc_id, md5(coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) < 2 AND length(trim(x)) > 0), chr(10)), '')) AS digest FROM documents")
 add("X26_flat_tables", "documents", lambda d: chunking.flat_tables(d, "doc_id", "text"), None)
-add("G1_reach", "pages", lambda p: crawl.reach(crawl.links(p), p.filter("page_id % 50 = 0").select("url"), 2), None)
+add("G1_reach", "pages", lambda p: crawl.reach(crawl.links(p), p.filter(F.contains("url", F.lit("utm_source=feed"))).select("url"), 2), None)
 
 
 def _reranked(b: DataFrame, d: DataFrame) -> DataFrame:
     """The lexical ten of every query in the order of the lexical score."""
-    found = retrieval.lexical_top_k(b.select(F.col("item_id").alias("query_id"), "text"), d, 10, most_terms=10_000)
+    found = retrieval.lexical_top_k(b.select(F.col("item_id").alias("query_id"), "text"), d, 10)
     texts = found.join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     total = F.count("*").over(Window.partitionBy("query_id"))
     scored = texts.withColumn("points", F.round(ranking.lexical_score(F.col("query"), F.col("text"), F.col("rank") - 1, total), 6))
