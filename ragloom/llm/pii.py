@@ -75,14 +75,20 @@ def _gaps(k: Kind) -> Column:
     return F.expr(f"if(size(_m_{k.name}) > 0, split(text, {_sql(k.pattern)}, -1), cast(array() as array<string>))")
 
 
+def _starts(k: Kind) -> Column:
+    """Where each match starts, in one pass: after all gaps and matches before it, and its own gap."""
+    sizes = f"zip_with(_m_{k.name}, _g_{k.name}, (m, g) -> named_struct('gap', bigint(length(g)), 'size', bigint(coalesce(length(m), 0))))"
+    zero = "named_struct('at', 0L, 'starts', cast(array() as array<bigint>))"
+    return F.expr(f"aggregate({sizes}, {zero}, (a, x) -> named_struct('at', a.at + x.gap + x.size, 'starts', array_append(a.starts, a.at + x.gap)), a -> a.starts)")
+
+
 def _spans(k: Kind, order: int) -> Column:
     """All confirmed spans of a kind: start, ord, kind, end, score."""
-    steps = f"zip_with(_m_{k.name}, _g_{k.name}, (m, g) -> length(g) + coalesce(length(m), 0))"
     near = f"substring(text, greatest(1, int(x.start) + 1 - {AROUND}), int(least(x.start, {AROUND}))) || ' ' || substring(text, int(x.start) + 1 + length(x.m), {AROUND})"
     sure = f"exists(array(_m_{k.name}[i]), m -> {k.check})"
     found = (
         f"transform(filter(transform(_m_{k.name}, (m, i) -> i), i -> {sure}), "
-        f"i -> named_struct('m', _m_{k.name}[i], 'start', aggregate(slice({steps}, 1, i), 0L, (a, g) -> a + g) + length(_g_{k.name}[i])))"
+        f"i -> named_struct('m', _m_{k.name}[i], 'start', _s_{k.name}[i]))"
     )
     scored = (
         f"transform({found}, x -> named_struct('start', x.start, 'ord', {order}, 'kind', '{k.name}', 'end', x.start + length(x.m), "
@@ -102,6 +108,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     each = rows.select(id_col, "text", *(_matches(k).alias(f"_m_{k.name}") for k in KINDS))
     each = each.select("*", *(_gaps(k).alias(f"_g_{k.name}") for k in KINDS))
+    each = each.select("*", *(_starts(k).alias(f"_s_{k.name}") for k in KINDS))
     each = each.select(id_col, "text", *(_spans(k, i).alias(f"_{k.name}") for i, k in enumerate(KINDS)))
     return each.select(id_col, "text", F.sort_array(F.concat(*(f"_{k.name}" for k in KINDS))).alias("spans"))
 
