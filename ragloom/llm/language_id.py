@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .util import crc_mod, slices
 
-#: A table entry: the next state's offset, and this bit where a phrase ended.
+#: A table entry: the next state, and this bit where a phrase ended.
 PHRASE_END = 1 << 30
-OFFSET = PHRASE_END - 1
+STATE = PHRASE_END - 1
 #: Texts are parsed in segments of so many characters; a phrase ends with its segment.
 SEGMENT = 1024
 #: So many characters are stepped together.
@@ -33,13 +33,18 @@ LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Automata of all languages in one table; classes: code point to column."""
+    """Automata of all languages, one after the other in one table.
+
+    ``classes``: code point to letter; ``columns``: letter to column, by
+    language; ``widths``, ``bases``: columns and first entry of a language.
+    """
 
     langs: list[str]
     classes: np.ndarray
-    width: int
+    columns: np.ndarray
+    widths: np.ndarray
+    bases: np.ndarray
     table: np.ndarray
-    roots: np.ndarray
     bits: np.ndarray
 
 
@@ -91,23 +96,29 @@ def build_model(samples: dict[str, str]) -> LanguageModel:
     for k, c in enumerate(letters, 1):
         classes[ord(c)] = k
     column = {c: k for k, c in enumerate(letters, 1)} | {" ": 0}
-    tables, roots, base = [], [], 0
+    tables, columns, widths, bases, base = [], [], [], [], 0
     for lang in langs:
+        # letters that the sample does not have share the last column
+        own = {c: k for k, c in enumerate(sorted(set(samples[lang]) | {" "}))}
+        w = len(own) + 1
+        columns.append(np.full(width, w - 1, np.int32))
+        for c, k in own.items():
+            columns[-1][column[c]] = k
         states = suffix_automaton(samples[lang])
-        root = np.full(width, base | PHRASE_END, np.int64)
+        root = np.full(w, PHRASE_END, np.int32)
         for c, to in states[0].items():
-            root[column[c]] = (base + to * width) | PHRASE_END
+            root[own[c]] = to | PHRASE_END
         table = np.tile(root, (len(states), 1))
         for s, out in enumerate(states):
             for c, to in out.items():
-                table[s, column[c]] = base + to * width
-        tables.append(table.ravel().astype(np.int32))
-        roots.append(base)
+                table[s, own[c]] = to
+        tables.append(table.ravel())
+        widths.append(w)
+        bases.append(base)
         base += table.size
-        if base >= PHRASE_END:
-            raise ValueError("too much labelled text: lower sample_chars")
     bits = np.array([np.log2(max(len(samples[x]), 2)) for x in langs])
-    return LanguageModel(langs, classes, width, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), bits)
+    none = np.zeros(0, np.int32)
+    return LanguageModel(langs, classes, np.stack(columns) if columns else none, np.array(widths, np.int64), np.array(bases, np.int64), np.concatenate(tables) if tables else none, bits)
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, sample_chars: int = 12_288) -> LanguageModel:
@@ -162,14 +173,14 @@ def phrase_counts(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, n
     phrases = np.zeros((len(model.langs), len(low)), np.int64)
     if not len(owner) or not model.langs:
         return phrases, lens
-    state = np.repeat(model.roots[:, None], len(owner), axis=1)
+    state = np.zeros((len(model.langs), len(owner)), np.int32)
     ended = np.ones(state.shape, np.int32)
+    widths, bases = model.widths[:, None], model.bases[:, None]
     active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
     for t, n in enumerate(active.tolist()):
-        at = state[:, :n] + code[start[:n] + t]
-        step = model.table[at]
+        step = model.table[bases + state[:, :n] * widths + model.columns[:, code[start[:n] + t]]]
         ended[:, :n] += step >> 30
-        state[:, :n] = step & OFFSET
+        state[:, :n] = step & STATE
     for k in range(len(model.langs)):
         phrases[k] = np.bincount(owner, weights=ended[k], minlength=len(low)).astype(np.int64)
     return phrases, lens
