@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import materialize
-from .vectors import matrix, of_one_size
+from .vectors import matrix, of_size, sizes
 
 #: Vectors of a packed row, vectors of a slice, queries of a block.
 PACK = 4_096
@@ -99,17 +99,21 @@ def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: s
     best estimates of each slice of SLICE vectors are ranked by the exact
     Euclidean distance in double precision, ties to the smaller id; with no
     more than ``short`` vectors the result is exact. A row is no candidate of
-    its own query. Null, zero and non-finite vectors, and those of another size
-    than most, take no part; rows that repeat an id count once. Other columns
-    are not read.
+    its own query. Null, zero and non-finite vectors take no part, vectors of
+    different sizes never meet, and rows that repeat an id count once. Other
+    columns are not read.
     """
-    spark = rows.sparkSession
     every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.expr(is_query).alias("asks")).filter("id is not null")
-    every, dim = of_one_size(every, "vec")
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in sizes(every, "vec"):
+        found = found.unionByName(_search_size(of_size(every, "vec", dim), dim, top, short, beam, sample_rows))
+    return found.withColumnRenamed("vec_id", id_col)
+
+
+def _search_size(every: DataFrame, dim: int, top: int, short: int, beam: int, sample_rows: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) among vectors (id, vec, asks) of one size."""
+    spark = every.sparkSession
     sample = every.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow().column(0).combine_chunks()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
-        return spark.createDataFrame([], result).withColumnRenamed("vec_id", id_col)
     held = spark.sparkContext.broadcast(train(matrix(sample, dim)))
 
     def index(batches):
@@ -162,4 +166,4 @@ def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: s
     scored = pairs.select("query_id", "id", exact.alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -9,13 +9,15 @@ then counted exactly within each component, block against block.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .util import connected_components, keep
-from .vectors import matrix, of_one_size
+from .vectors import matrix, of_size, sizes, usable
 
 #: Rows of a sorted bucket that the splitters aim at; rows of a block of exact counts.
 BUCKET = 16_384
@@ -76,25 +78,35 @@ def _step(edges=((), ()), kept=()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _STEP.split(", ")])
 
 
-def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, passes: int = 8, window: int = 24, sample_rows: int = 16_384, seed: int = 5) -> DataFrame:
+def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, passes: int | None = None, window: int = 24, sample_rows: int = 16_384, seed: int = 5) -> DataFrame:
     """(id, n_links, component) of every row.
 
     Rows link when their labels are equal and not null and their cosine in
-    double precision is at least ``least``; a row that is null, zero, not
-    finite, or of another size than most links with nothing. Equal vectors of
+    double precision is at least ``least``; a row that is null, zero or not
+    finite links with nothing, and vectors of different sizes don't link. Equal vectors of
     a label are one class in all comparisons and link with each other.
     ``n_links`` counts other rows, ``component`` is the smallest id reachable;
     an unlinked row has 0 and its own id. A link is missed only if in no pass
     its two ends, or a chain of links between them, stand within the window.
+    There are 8 passes, and 2 more for each doubling of the largest label's rows
+    beyond 20,000, unless ``passes`` says otherwise.
     """
-    spark = rows.sparkSession
     every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("long").alias("label"))
-    valid, dim = of_one_size(every.filter("label is not null and id is not null"), "vec")
+    able = every.filter("label is not null and id is not null")
+    alone = every.filter(~F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & usable("vec"), F.lit(False)))
+    out = alone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    for dim in sizes(able, "vec"):
+        out = out.unionByName(_link_size(of_size(able, "vec", dim), dim, least, passes, window, sample_rows, seed).withColumnRenamed("id", id_col))
+    return out
+
+
+def _link_size(valid: DataFrame, dim: int, least: float, passes: int | None, window: int, sample_rows: int, seed: int) -> DataFrame:
+    """(id, n_links, component) of vectors (id, vec, label) of one size."""
+    spark = valid.sparkSession
     classes = keep(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    n = classes.count()
-    alone = every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    if not n:
-        return alone
+    n, most = classes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    if passes is None:
+        passes = 8 + 2 * max(0, math.ceil(math.log2(most / 20_000)))
     buckets = max(1, n // BUCKET)
 
     # splitters of every pass, from a bounded sample of (label, key)
@@ -122,7 +134,7 @@ def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), part.column(1), pa.array(key), part.column(0), vec], names=["bucket", "label", "key", "id", "vec"])
 
     dealt = classes.select("rep", "label", "vec").mapInArrow(project, "bucket long, label long, key long, id long, vec binary")
-    dealt = dealt.repartition(passes * buckets, "bucket").sortWithinPartitions("bucket", "label", "key", "id")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "label", "key", "id")
 
     def compare(batches):
         """Windows slide over a bucket in pieces; its first and last rows go to its neighbours."""
@@ -194,12 +206,4 @@ def link(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
     counts = cells.groupBy("component", "i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
     found = classes.join(comps, classes["rep"] == comps["id"], "left").join(counts.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    linked = valid.join(found, ["label", "vec"]).select(F.col("id").alias(id_col), "n_links", "component")
-    rest = every.filter(~(F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & usable_of(dim), F.lit(False))))
-    return linked.unionByName(rest.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
-
-
-def usable_of(dim: int):
-    from .vectors import usable
-
-    return usable("vec") & (F.size("vec") == dim)
+    return valid.join(found, ["label", "vec"]).select("id", "n_links", "component")

@@ -14,12 +14,13 @@ def usable(col: str) -> Column:
     return F.coalesce(F.col(col).isNotNull() & finite & F.exists(col, lambda x: x != 0), F.lit(False))
 
 
-def of_one_size(rows: DataFrame, col: str, sample: int = 1_000) -> tuple[DataFrame, int]:
-    """The usable vectors that have the commonest size among the first ids, and that size."""
-    rows = rows.filter(usable(col))
-    sizes = rows.orderBy(F.xxhash64("id"), "id").limit(sample).groupBy(F.size(col).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = sizes.n if sizes else 0
-    return rows.filter(F.size(col) == dim), dim
+def sizes(rows: DataFrame, col: str) -> list[int]:
+    """The sizes of the usable vectors: vectors of different sizes never meet, and each size is treated in full."""
+    return sorted(r.n for r in rows.filter(usable(col)).groupBy(F.size(col).alias("n")).count().collect())
+
+
+def of_size(rows: DataFrame, col: str, dim: int) -> DataFrame:
+    return rows.filter(usable(col) & (F.size(col) == dim))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
