@@ -1,3 +1,3 @@
 """Named queries over the driver's tables; importing this registers all of them."""
 
-from . import registry, answers, dashboards, matching, page_quality, texts  # noqa: F401, I001
+from . import registry, answers, dashboards, matching, page_quality, tables, texts  # noqa: F401, I001
