@@ -126,15 +126,22 @@ def reach(contexts: list[bytes], left: np.ndarray, right: np.ndarray, length: in
     if not len(rows):
         return out_left, out_right
     up, down = powers(2 * span + 1)
+    # the strings at one offset of all rows are hashed together; a step to the left adds a byte and drops one
+    octets = np.ascontiguousarray(block[rows].T)
+    one = np.uint64(1)
     with np.errstate(over="ignore"):
-        total = np.zeros((len(rows), 2 * span + 1), np.uint64)
-        np.cumsum((block[rows].astype(np.uint64) + np.uint64(1)) * up[: 2 * span], axis=1, out=total[:, 1:])
+        first = span - margin
+        sums = np.zeros(len(rows), np.uint64)
+        for j in range(first, first + length):
+            sums += (octets[j] + one) * up[j]
         for o in range(margin, span + 1):
+            at = span - o
+            if o > margin:
+                sums += (octets[at] + one) * up[at] - (octets[at + length] + one) * up[at + length]
             able = np.flatnonzero((left[rows] >= o) & (ahead[rows] >= length - o))
             if len(able) < 2:
                 continue
-            at = span - o
-            h = mix((total[able, at + length] - total[able, at]) * down[at])
+            h = mix(sums[able] * down[at])
             by = np.argsort(h)
             same = h[by][1:] == h[by][:-1]
             again = rows[able[by[np.r_[same, False] | np.r_[False, same]]]]
@@ -239,7 +246,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 for x, a, lf, rt in zip(c.tolist(), at.tolist(), left.tolist(), right.tolist(), strict=True):
                     body.append(None if x in seen else raw[a - lf : a + rt])
                     seen.add(x)
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
                 first = np.array([int.from_bytes(raw[a - margin : a - margin + 7], "big") for a in at.tolist()], np.int64)
                 ids = np.array(own, np.int64)[who] if len(who) else np.zeros(0, np.int64)
