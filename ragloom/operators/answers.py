@@ -236,3 +236,47 @@ def form_trigger(message: Column, count: Column, forms: Sequence[Form]) -> Colum
         if words := [w.strip().lower() for w in form.words if w.strip()]:
             out = F.when(_any(low, words), F.lit(f"{form.name}:keyword")).otherwise(out)
     return out
+
+
+# Fixed values of the five-factor score.
+LISTED = r"[-•·]\s+|\d+\.\s+|\n\s*\n"
+CONTACT = r"(?i)\b(?:telefono|email|indirizzo|orari?|contatti?)\b"
+SIGNS = (r"(?:\+39\s*)?0\d{1,3}[\s.\-]*\d{6,8}", r"@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"(?i)\b(?:via|viale|piazza|corso|largo)\s+[A-Z]", r"\d{1,2}[:.]?\d{0,2}\s*[-–—]\s*\d{1,2}[:.]?\d{0,2}")
+HOSTS = r"(?i)\.(gov|edu|org|comune\.|provincia\.|regione\.)"
+OFFICES = r"(?i)\b(?:comune|provincia|regione|ufficio|servizio|informazioni)\b"
+
+
+def five_factors() -> Column:
+    """Score of a citation (q, position, score, text, snippet, title, url, kind, contact fields) among those of its query.
+
+    0.35 of its score, 0.25 of its content, 0.2 of its contacts, 0.15 of its
+    source's authority and 0.05 of its position, 1 falling to 0 at the end.
+    """
+    text, url, title = _text("text"), _text("url"), _text("title")
+    given = lambda cond, points: F.when(cond, points).otherwise(0.0)
+    content = F.when(F.length(text) > 800, 0.3).when(F.length(text) > 400, 0.2).when(F.length(text) > 200, 0.1).otherwise(0.0)
+    content = content + given(F.length(_text("snippet")) > 150, 0.2) + given(F.length(title) > 10, 0.2) + given(text.rlike(LISTED), 0.15) + given(text.rlike(CONTACT), 0.15)
+    filled = reduce(lambda a, b: a + b, ((_text(c) != "").cast("int") for c in ("phone", "email", "address", "schedule")))
+    contacts = filled * 0.25 + given(filled >= 2, 0.1) + reduce(lambda a, b: a + b, (given(text.rlike(p), 0.1) for p in SIGNS))
+    kind = F.lower(_text("kind"))
+    source = given(url.rlike(HOSTS), 0.4) + F.when(kind == "pdf", 0.2).when(kind.isin("doc", "docx"), 0.15).when(kind.isin("txt", "md"), 0.1).otherwise(0.0)
+    source = source + given(url.rlike("/[^/]+/[^/]+"), 0.15) + given(title.rlike(OFFICES), 0.15) - given(F.length(url) > 150, 0.1)
+    n = F.count("*").over(Window.partitionBy("q"))
+    place = F.greatest(F.lit(0.0), 1 - (F.col("position") - 1) / F.greatest(F.lit(1), n - 1))
+    one = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return F.coalesce("score", F.lit(0.0)) * 0.35 + one(content) * 0.25 + one(contacts) * 0.2 + one(source) * 0.15 + place * 0.05
+
+
+def conversation_context(messages: DataFrame, key: str, turn: str, role: str, text: str, *, most: int = 10, size: int = 200) -> DataFrame:
+    """(key, turn, messages, context) of every user message with something before it.
+
+    Of the ``most`` messages before it those of user and assistant count, unless
+    empty or injected; each is cut to ``size`` characters.
+    """
+    body = F.trim(_text(text))
+    line = F.concat(F.col(role), F.lit(": "), F.when(F.length(body) > size, F.concat(F.substring(body, 1, size), F.lit("..."))).otherwise(body))
+    useful = F.col(role).isin("user", "assistant") & (body != "") & ~F.startswith(body, F.lit("Contesto della knowledge base"))
+    before = Window.partitionBy(key).orderBy(turn).rowsBetween(-most, -1)
+    lines = F.collect_list(F.when(useful, line)).over(before)
+    rows = messages.withColumn("_lines", lines).filter((F.col(role) == "user") & (F.size("_lines") > 0))
+    return rows.select(key, turn, F.size("_lines").alias("messages"), F.array_join("_lines", "\n").alias("context"))
