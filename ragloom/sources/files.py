@@ -8,9 +8,12 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoints
+
 #: Extensions that are read, and event kinds that are taken.
 PLAIN = ("txt", "md", "markdown")
 EMPTY = ("pptx", "ppt")
@@ -116,3 +119,35 @@ def user_pattern(pattern: str | None) -> str | None:
         return f"(?i){pattern.strip()}"
     flags = "".join(sorted(set(found[3]) & set("ims")))
     return f"(?{flags}){found[2]}" if flags else found[2]
+
+
+def write_feedback_csv(rows: DataFrame, path: str) -> None:
+    """Ratings as CSV; answers are cut to 200 characters."""
+    write_csv(rows, path, {"answer": 200})
+
+
+def write_submissions_csv(rows: DataFrame, path: str, fields: list[str], data: str = "data") -> None:
+    """Form submissions as CSV: their own columns, then a column for each field of their JSON data, empty where it is missing."""
+    others = [c for c in rows.columns if c != data]
+    values = F.from_json(data, "map<string,string>")
+    write_csv(rows.select(*others, *(F.coalesce(F.element_at(values, f), F.lit("")).alias(f) for f in fields)), path)
+
+
+def write_markdown(chunks: DataFrame, path: str, doc: str = "doc_id", index: str = "chunk_index", text: str = "content") -> None:
+    """One text a document, its chunks in order with blank lines between, in files below ``doc=…``."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    chunks.groupBy(doc).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("value")).write.mode("overwrite").partitionBy(doc).text(path)
+
+
+def upsert_vectors(rows: DataFrame, path: str, tenant: str = "tenant_id", doc: str = "doc_id", index: str = "chunk_index") -> None:
+    """Vectors under their packed ids; the tenants in ``rows`` are replaced by old rows of other documents and these."""
+    new = rows.withColumn("id", pack_key(F.col(doc), F.col(index)))
+    spark = rows.sparkSession
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        replace_partitions(new, path, tenant)
+        return
+    kept = old.join(new.select(tenant, doc).distinct(), [tenant, doc], "left_anti").join(new.select(tenant).distinct(), tenant, "left_semi")
+    ensure_checkpoints(spark)
+    replace_partitions(kept.unionByName(new).checkpoint(), path, tenant)  # read before it is overwritten
