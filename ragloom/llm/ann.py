@@ -80,7 +80,7 @@ def _means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> tupl
     return centres, near
 
 
-def train(x: np.ndarray, *, books: int = 16, words: int = 256, rounds: int = 6, seed: int = 11) -> Codebooks:
+def train(x: np.ndarray, *, books: int = 24, words: int = 256, rounds: int = 6, seed: int = 11) -> Codebooks:
     """Codebooks on the residuals that the earlier ones leave."""
     rng = np.random.default_rng(seed)
     rest, found = x.copy(), []
@@ -91,7 +91,7 @@ def train(x: np.ndarray, *, books: int = 16, words: int = 256, rounds: int = 6,
     return Codebooks(np.stack(found))
 
 
-def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 10, short: int = 256, beam: int = 6, sample_rows: int = 8_192) -> DataFrame:
+def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 10, short: int = 256, beam: int = 6, sample_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, id, score): the nearest rows of every row for which ``is_query`` holds.
 
     Codebooks are fitted on at most ``sample_rows`` vectors, those with the
