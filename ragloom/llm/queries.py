@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import ann, bpe, jaccard, language_id, mixing, near_vectors, pii, quality, suffixes, toxicity
+from . import ann, bpe, divergence, jaccard, language_id, mixing, near_vectors, pii, quality, suffixes, toxicity, trie, whitening
 from .util import crc_mod
 
 
@@ -67,7 +67,24 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = divergence.judge(docs, divergence.learn(docs))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(load(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_divergence_rules": op11_divergence_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op2_additive_ann": op2_additive_ann,
@@ -81,6 +98,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op11_divergence_rules": divergence.ORACLE_SQL,
+    "op12_prefix_trie": trie.ORACLE_SQL,
     "op5_pii": pii.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
 }

@@ -144,12 +144,10 @@ def build(conversations: DataFrame, *, rebuilt: bool = True) -> DataFrame:
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).first()
     top = root.conv_id if root.n else 0
     live = convs.select("conv_id", F.lit(top).cast("long").alias("node"), "length")
-    empty = conversations.sparkSession.range(0)
-    shared = empty.select(F.lit(top).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(root.n).alias("n"), F.lit(0).cast("long").alias("words"))
-    if root.n:
-        shared = convs.sparkSession.range(1).select(F.lit(top).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(root.n).cast("long").alias("n"), F.lit(0).cast("long").alias("words"))
+    spark = conversations.sparkSession
+    shared = spark.range(1 if root.n else 0).select(F.lit(top).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(root.n).cast("long").alias("n"), F.lit(0).cast("long").alias("words"))
     levels, alone, ended = [shared], [], [live.filter("length = 0").select(F.lit(0).cast("long").alias("depth"), F.col("node").alias("conv_id"), F.col("conv_id").alias("conv"))]
-    depth, steps = 0, []
+    depth = 0
     while not live.filter(F.col("length") > depth).isEmpty():
         depth += 1
         going = live.filter(F.col("length") >= depth).join(turns.filter(F.col("d") == depth).drop("d"), "conv_id")
@@ -160,13 +158,12 @@ def build(conversations: DataFrame, *, rebuilt: bool = True) -> DataFrame:
         moved = going.select("node", "key", "conv_id", "length").join(many.select("node", "key", "child"), ["node", "key"])
         live = materialize(moved.select("conv_id", F.col("child").alias("node"), "length"), f"trie-live-{depth}")
         drop(going)
-        steps += [groups, live]
         levels.append(many.select(F.col("child").alias("conv_id"), F.col("node").alias("parent"), "n", "words"))
         alone.append(groups.filter("n = 1").select(F.col("child").alias("conv_id"), F.col("node").alias("parent"), F.lit(depth).cast("long").alias("depth"), "length"))
         ended.append(live.filter(F.col("length") == depth).select(F.lit(depth).cast("long").alias("depth"), F.col("node").alias("conv_id"), F.col("conv_id").alias("conv")))
     nodes = _roll_up(levels, alone)
     sums = digests_of(_all_of(ended))
-    nodes = nodes.join(sums, ["depth", "conv_id"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NOTHING)))
+    nodes = nodes.join(sums, ["depth", "conv_id"], "left").select(*COLUMNS, F.coalesce("ends_sha256", F.lit(NOTHING)).alias("ends_sha256"))
     return nodes.unionByName(_chains(_all_of(alone))) if alone else nodes
 
 
