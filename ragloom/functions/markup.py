@@ -71,6 +71,23 @@ def clean_markdown(text: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
+CONTACT_LINE = r"(?i)(?:^|\s)tel[:.]?\s*\+?\d|(?<!\d)(?:\+39\s*)?(?:0\d{1,3}|3\d{2})[.\s-]?\d{2,4}[.\s-]?\d{3,4}(?!\d)"
+MAIL_LINE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def filtered_lines(markdown: Column) -> Column:
+    """Runs of blanks become one and more than one empty line one; of what is left, lines with structure, a phone or an e-mail stay, others if they have ten bytes.
+
+    The words of menus that deployments also drop are all shorter than that.
+    """
+    out = F.regexp_replace(markdown, r"[ \t]+", " ")
+    out = F.regexp_replace(out, r"\n\s*\n\s*\n+", "\n\n")
+    trimmed = lambda x: F.regexp_replace(x, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+\z", "")
+    structure = lambda x: x.rlike(r"^(#{1,6}\s|[-*+]\s|>\s|```)") | (x == "")
+    keep = lambda x: structure(trimmed(x)) | trimmed(x).rlike(CONTACT_LINE) | trimmed(x).rlike(MAIL_LINE) | (F.octet_length(trimmed(x)) >= 10)
+    return trimmed(F.array_join(F.filter(F.split(out, "\n", -1), keep), "\n"))
+
+
 def extraction_quality(markdown: Column, html: Column) -> Column:
     """How much of a page its Markdown holds: tables, phones, links and length, from 0 to 1."""
     ratio = lambda got, of: F.when(of > 0, got / of).otherwise(1.0)
