@@ -38,8 +38,8 @@ def _name_position(low: Column, name: str) -> Column:
     return F.when(at(name) >= 0, at(name)).otherwise(out)
 
 
-def near_name(chunks: DataFrame, keys: list[str], text: str, name: str, kind: str, limit: int = 10) -> DataFrame:
-    """(keys, value, score, excerpt) of the best phones or mails in chunks that hold words of a name.
+def near_name(chunks: DataFrame, keys: list[str], text: str, name: str, kind: str, limit: int | None = 10) -> DataFrame:
+    """(keys, value, score, excerpt) of the best (null limit: all) phones or mails in chunks that hold words of a name.
 
     The score is the trigram similarity of chunk and name, and up to 1 for
     nearness within REACH characters. A phone needs all the name's words or
@@ -67,7 +67,7 @@ def near_name(chunks: DataFrame, keys: list[str], text: str, name: str, kind: st
     distance = F.when(F.col("_at").isNotNull() & (F.col("_pos") >= 0), F.abs(F.col("_pos") - F.col("_at"))).otherwise(9999)
     score = F.col("_sim") + F.greatest(F.lit(0.0), 1 - F.least(distance, F.lit(REACH)) / float(REACH))
     scored = rows.select(*keys, value.alias("value"), score.alias("score"), scalars.excerpt(F.col("_t"), F.greatest(F.col("_pos"), F.lit(0)), EXCERPT).alias("excerpt"))
-    return scored.orderBy(F.desc("score"), *keys, "value").limit(limit)
+    return scored if limit is None else scored.orderBy(F.desc("score"), *keys, "value").limit(limit)
 
 
 def answer_types(answer: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers
-from .registry import add, add_inline
+from .registry import PARTS, TURNS, add, add_derived, spread
 
 
 def _any(text: str, words) -> str:
@@ -43,13 +43,13 @@ _CITES = """SELECT * FROM (VALUES
     (6, 'Piazza Roma 1, indirizzo della sede', 'web', 'https://regione.example.it', NULL, FALSE, NULL, NULL, 'dove si trova la sede', 'address', 0.7),
     (7, 'Testo breve', 'web', NULL, NULL, FALSE, NULL, NULL, 'tutt altro argomento', 'phone', 0.2))
     AS t(id, content, source, url, title, has_metadata, phone, email, query, intent, score)"""
-add_inline("QS2_citation_parts", {"cites": _CITES}, lambda c: answers.score_citations(c).select(*_PARTS), "," + _SCORED)
+add_derived("QS2_citation_parts", {"cites": spread(_CITES, 7, "content source url title has_metadata phone email query intent score", "documents", "doc_id", "content")}, lambda c: answers.score_citations(c).select(*_PARTS), "," + _SCORED)
 _AS_CITATIONS = "SELECT doc_id AS id, text AS content, source, NULL AS url, NULL AS title, FALSE AS has_metadata, NULL AS phone, NULL AS email, 'cuando apre the office' AS query, 'address' AS intent, 1.0 AS score FROM documents"
 add("QS1_citation_score", "documents", lambda d: answers.score_citations(d.selectExpr(
     "doc_id as id", "text as content", "source", "cast(null as string) as url", "cast(null as string) as title", "false as has_metadata", "cast(null as string) as phone", "cast(null as string) as email", "'cuando apre the office' as query", "'address' as intent", "1.0D as score",
 )).select(*_PARTS), f"WITH cites AS ({_AS_CITATIONS}), {_SCORED}")
 
-add_inline("QS6_gating", {"a": "SELECT * FROM (VALUES (1, 0, 0.9), (2, 1, 0.01), (3, 3, 0.8), (4, 0, 0.0)) AS t(id, citations, confidence)"},
+add_derived("QS6_gating", {"a": "SELECT event_id AS id, CAST(event_id % 4 AS INT) AS citations, coalesce(value, 0) / 100 AS confidence FROM events"},
     lambda a: a.select("id", answers.falls_back(F.col("citations"), F.col("confidence")).alias("forced"), answers.falls_back(F.col("citations"), F.col("confidence"), least_citations=2, force=False).alias("strict")),
     "SELECT id, (citations < 1 OR confidence < 0.05) AND NOT citations > 0 AS forced, citations < 2 OR confidence < 0.05 AS strict FROM a")
 
@@ -65,24 +65,25 @@ _QUERIES = """SELECT * FROM (VALUES (1, 'Chi sono  gli assessori?'), (2, 'potres
 _NORMALISED = "regexp_replace(trim(query), '[?!.]+$', '')"
 for _pattern, _to in answers.LEAD_INS:
     _NORMALISED = f"regexp_replace({_NORMALISED}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_to.replace('$', chr(92))}', 'g')"
-add_inline("X1_normalised_query", {"q": _QUERIES}, lambda q: q.select("id", answers.normalise_query(F.col("query")).alias("query")),
+add_derived("X1_normalised_query", {"q": spread(_QUERIES, 11, "query", PARTS, "k", "query")}, lambda q: q.select("id", answers.normalise_query(F.col("query")).alias("query")),
     f"SELECT id, CASE WHEN x = '' THEN query ELSE x END AS query FROM (SELECT *, trim(regexp_replace({_NORMALISED}, '\\s+', ' ', 'g')) AS x FROM q)")
 
 _HITS = {t: _count("lower(query)", w) for t, w in answers.COMPLETE_TOPICS.items()}
 _BY_PATTERN = " OR ".join(f"regexp_matches(query, '{p}')" for p in answers.COMPLETE_PATTERNS)
 _FIRST = lambda least, value: "CASE " + " ".join(f"WHEN {h} >= {least} THEN {value(t, h)}" for t, h in _HITS.items()) + " END"
-add_inline("X11_completeness", {"q": _QUERIES}, lambda q: q.select("id", answers.completeness(F.col("query")).alias("c")).select("id", "c.*"),
+add_derived("X11_completeness", {"q": spread(_QUERIES, 11, "query", PARTS, "k", "query")}, lambda q: q.select("id", answers.completeness(F.col("query")).alias("c")).select("id", "c.*"),
     f"""SELECT id, p OR topic IS NOT NULL AS complete, CASE WHEN p THEN 'pattern' WHEN topic IS NOT NULL THEN 'topic' ELSE 'normal' END AS kind, CASE WHEN p THEN first ELSE topic END AS topic,
     CASE WHEN p THEN 0.9 WHEN topic IS NOT NULL THEN least(0.95, round(0.7 + n * 0.1, 2)) ELSE 0 END::DOUBLE AS confidence
     FROM (SELECT *, ({_BY_PATTERN}) AS p, {_FIRST(2, lambda t, h: f"'{t}'")} AS topic, {_FIRST(1, lambda t, h: f"'{t}'")} AS first, {_FIRST(2, lambda t, h: h)} AS n FROM q)""")
 
 _KEYWORDS = "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(i, w.replace("'", "''")) for i, words in answers.INTENT_WORDS.items() for w in words) + ") AS t(intent, keyword)"
 _ASKED = """SELECT * FROM (VALUES (1, 'orari di apertura', 'orari di apertura'), (2, 'telefono ufficio', 'telefono ufficio cellulare'), (3, 'where is the office', 'where is the office address'), (4, 'pec', 'pec email'), (5, 'qualcosa di molto lungo e diverso', 'altro')) AS t(id, query, expanded)"""
+_ASKED_BY = spread(_ASKED, 5, "query expanded", TURNS.replace("coalesce(text, '')", "lower(coalesce(text, ''))"), "k", "query expanded")
 _INTENTS = """, m AS (SELECT id, intent, sum(CASE WHEN contains(query, keyword) THEN length(keyword) / greatest(length(query), 1)::DOUBLE WHEN contains(expanded, keyword) THEN length(keyword) / greatest(length(query), 1)::DOUBLE * 0.5 ELSE 0 END) AS score
     FROM q CROSS JOIN (SELECT DISTINCT intent, keyword FROM k) GROUP BY 1, 2), r AS (SELECT id, intent, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, intent)::INT AS "rank" FROM m WHERE score >= 0.3)"""
 _ROUNDED = ["id", "intent", "round(score, 6) as score", "rank"]
-add_inline("X9_intents", {"q": _ASKED, "k": _KEYWORDS}, lambda q, k: answers.intents(q, k).selectExpr(*_ROUNDED), _INTENTS + " SELECT * FROM r")
-add_inline("X9_first_intent", {"q": _ASKED, "k": _KEYWORDS}, lambda q, k: answers.intents(q, k, first_only=True).selectExpr(*_ROUNDED), _INTENTS + ' SELECT * FROM r WHERE "rank" = 1')
+add_derived("X9_intents", {"q": _ASKED_BY, "k": _KEYWORDS}, lambda q, k: answers.intents(q, k).selectExpr(*_ROUNDED), _INTENTS + " SELECT * FROM r")
+add_derived("X9_first_intent", {"q": _ASKED_BY, "k": _KEYWORDS}, lambda q, k: answers.intents(q, k, first_only=True).selectExpr(*_ROUNDED), _INTENTS + ' SELECT * FROM r WHERE "rank" = 1')
 
 _BOOSTS = answers.Boosts(base=1.1, upload=1.5, title_words={"brass": 1.2, "STEEL": 0.9, "tin": -1.0}, locations={"green": 2.0})
 add("R5_boosts", "part", lambda p: p.select("p_partkey", F.round(answers.boosted(F.col("p_retailprice"), F.when(F.col("p_size") < 10, "upload").otherwise("web"), F.col("p_type"), F.col("p_name"), _BOOSTS), 4).alias("score")),

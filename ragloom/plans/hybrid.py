@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answers, hybrid
-from .registry import _LEX, add, add_inline, add_many
+from .registry import _LEX, add, add_derived, add_many, spread
 
 _BOOSTS = answers.Boosts(base=1.1, upload=1.5, locations={"that": 1.2})
 
@@ -27,9 +27,11 @@ SELECT query_id, doc_id, score, "rank", round(least(1.0, 10 * sum(CASE WHEN "ran
 
 _RATED = """SELECT * FROM (VALUES (1, 1, 0.9, 'Orari: telefono 06 1234567 e email info@example.org in via Roma 1, 9:00 - 12:00.', 'Orari', 'Orari ufficio comune', 'https://www.comune.example.org/uffici/orari', 'pdf', '06 1', 'i@e.org', NULL, '9-12'),
     (1, 2, 0.5, 'Testo breve', NULL, NULL, NULL, 'txt', NULL, NULL, NULL, NULL), (1, 3, NULL, '- uno\n- due', 'x', 'Informazioni utili', 'https://a.example.gov/x', NULL, NULL, NULL, 'via Roma', NULL)) AS t(q, position, score, text, snippet, title, url, kind, phone, email, address, schedule)"""
+_RATED_CASES = spread(_RATED.replace("t(q, position,", "t(q, id,"), 3, "score text snippet title url kind phone email address schedule", "documents", "doc_id", "text")
+_RATED_BY = f"SELECT id % 97 AS q, CAST((id - id % 97) / 97 + 1 AS INT) AS position, score, text, snippet, title, url, kind, phone, email, address, schedule FROM ({_RATED_CASES})"
 _M = lambda p, c="text", w=0.1: f"CASE WHEN regexp_matches(coalesce({c}, ''), '{p}') THEN {w} ELSE 0 END"
 _FILLED = " + ".join(f"(coalesce({c}, '') <> '')::INT" for c in ("phone", "email", "address", "schedule"))
-add_inline("QS3_source_score", {"c": _RATED}, lambda c: c.select("q", "position", F.round(answers.five_factors(), 6).alias("score")), f"""SELECT q, position, round((coalesce(score, 0)::DOUBLE * 0.35::DOUBLE
+add_derived("QS3_source_score", {"c": _RATED_BY}, lambda c: c.select("q", "position", F.round(answers.five_factors(), 6).alias("score")), f"""SELECT q, position, round((coalesce(score, 0)::DOUBLE * 0.35::DOUBLE
     + least(1.0, CASE WHEN length(text) > 800 THEN 0.3 WHEN length(text) > 400 THEN 0.2 WHEN length(text) > 200 THEN 0.1 ELSE 0 END + CASE WHEN length(coalesce(snippet, '')) > 150 THEN 0.2 ELSE 0 END + CASE WHEN length(coalesce(title, '')) > 10 THEN 0.2 ELSE 0 END
         + {_M(answers.LISTED, w=0.15)} + {_M(answers.CONTACT, w=0.15)})::DOUBLE * 0.25::DOUBLE
     + least(1.0, ({_FILLED}) * 0.25 + CASE WHEN {_FILLED} >= 2 THEN 0.1 ELSE 0 END + {' + '.join(_M(p) for p in answers.SIGNS)})::DOUBLE * 0.2::DOUBLE

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics, ranking, retrieval, text
-from ..session import load
+from ..session import TABLES, load
 from ..streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +24,31 @@ def add(name: str, table: str, build: Callable[[DataFrame], DataFrame], sql: str
         ORACLE[name] = sql
 
 
-def add_inline(name: str, tables: dict[str, str], build: Callable[..., DataFrame], sql: str) -> None:
-    """A query over small tables that are given as SQL text, the same for Spark and DuckDB, in the shape of settings and requests."""
-    QUERIES[name] = lambda spark, sf_dir: build(*(spark.sql(t) for t in tables.values()))
+def add_derived(name: str, tables: dict[str, str], build: Callable[..., DataFrame], sql: str) -> None:
+    """A query over tables in the shape of settings and requests, which SQL text (the same for Spark and DuckDB) makes of the given ones."""
+    given = [t for t in TABLES if re.search(rf"\b{t}\b", " ".join(tables.values()))]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in given:
+            load(spark, sf_dir, t).createOrReplaceTempView(t)
+        return build(*(spark.sql(t) for t in tables.values()))
+
+    QUERIES[name] = query
     ORACLE[name] = "WITH " + ", ".join(f"{k} AS ({t})" for k, t in tables.items()) + f" {sql}"
 
 
+def spread(cases: str, n: int, columns: str, given: str, key: str, into: str = "", text: str = "text") -> str:
+    """SQL: every row of ``given`` with one of the ``n`` cases (numbered by id), in turn; in every other round the row's own text follows in the columns ``into``."""
+    own = f"' ' || replace(substr(g.{text}, 1, 60), chr(10), ' ')"
+    cols = (f"CASE WHEN ((g.{key} - g.{key} % {n}) / {n}) % 2 = 0 THEN v.{c} ELSE v.{c} || {own} END AS {c}" if c in into.split() else f"v.{c}" for c in columns.split())
+    return f"SELECT g.{key} AS id, {', '.join(cols)} FROM {given} g JOIN ({cases}) v ON v.id = g.{key} % {n} + 1"
+
+
+#: Turns with a key of their own; parts with names in ASCII.
+TURNS = "(SELECT conv_id * 1000 + turn AS k, coalesce(text, '') AS text FROM conversations)"
+PARTS = "(SELECT p_partkey AS k, p_name AS text FROM part)"
+
+
 def add_many(name: str, tables: list[str], build: Callable[..., DataFrame], sql: str | None) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(*(load(spark, sf_dir, t) for t in tables))
     if sql:
