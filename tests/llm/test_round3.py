@@ -46,9 +46,19 @@ def test_base_counts():
     texts = [None, "", " \n\t", "a", "a a a a", "a b c a b c", "x\x0by z w", "é" * 5, "l\nl\n l\nl\n\n\n", "#*$%&|<> ok"]
     texts += ["".join(rnd.choice(["a", "b", " ", "\n", "é", "#", "😀", "\t"]) for _ in range(rnd.randrange(200))) for _ in range(200)]
     texts += [" ".join(rnd.choice("ab") * rnd.randrange(1, 3) for _ in range(80)) for _ in range(20)]
-    for t in texts:
-        *got, classes = divergence.measure(t)
-        assert tuple(got) == plain_counts(t) and classes.sum() == len(t or "")
+    got = divergence.measure(texts)
+    columns = got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words
+    for i, t in enumerate(texts):
+        assert tuple(int(c[i]) for c in columns) == plain_counts(t) and got.classes[i].sum() == len(t or "")
+    assert len(divergence.measure([]).n_words) == 0
+
+
+def test_vocabulary():
+    """Words lose marks at their end and are told apart from all others; those without a letter are none."""
+    texts = ["The the, the. THE?! .the", "... 12 |", "", "é é. a-b a.b x..,;y", "x y"]
+    hashes, counts = divergence.vocabulary(texts)
+    assert counts.tolist() == [5, 0, 0, 5, 2]
+    assert len(set(hashes[:4])) == 1 and hashes[4] != hashes[0] and hashes[5] == hashes[6] and len(set(hashes)) == 8
 
 
 def test_distance():
@@ -57,6 +67,7 @@ def test_distance():
     h = lambda x: -sum(v * math.log2(v) for v in x if v > 0)
     q = np.array([0.2, 0.3, 0.5])
     assert divergence.jensen_shannon(p, q) == pytest.approx(math.sqrt(h((p + q) / 2) - (h(p) + h(q)) / 2))
+    assert divergence.jensen_shannon(np.array([p, q]), q).tolist() == [divergence.jensen_shannon(p, q), 0]
 
 
 def prose(rnd, common, n):
