@@ -18,14 +18,43 @@ AUTHORITY_WORDS = (
 CITATION_WEIGHTS = {"source": 0.20, "quality": 0.30, "authority": 0.25, "intent_match": 0.25}
 #: Keywords by intent, Italian and English; others come as a parameter.
 INTENT_WORDS = {
+    "thanks": (
+        "grazie", "grazie mille", "ti ringrazio", "la ringrazio", "vi ringrazio", "molte grazie", "tante grazie", "grazie tante", "grazie di tutto", "grazie per tutto", "grazie dell'aiuto",
+        "grazie per l'aiuto", "grazie per la risposta", "perfetto grazie", "ok grazie", "ottimo", "perfetto", "bene", "molto bene", "eccellente", "fantastico", "sei stato di aiuto", "sei stata utile",
+        "molto utile", "molto gentile", "la ringrazio sentitamente", "cordiali ringraziamenti", "distinti saluti", "cordiali saluti", "buona giornata", "buon lavoro", "arrivederci",
+        "thanks", "thank you", "thank you very much", "thanks a lot", "many thanks", "thanks so much", "appreciate it", "much appreciated", "perfect thanks", "great thanks", "excellent", "perfect",
+        "awesome", "wonderful", "you've been helpful", "very helpful", "very kind", "good job", "have a nice day", "goodbye", "bye", "see you",
+    ),
     "schedule": (
         "orario", "orari", "orario di apertura", "orari di apertura", "quando è aperto", "quando apre", "quando chiude", "a che ora", "apertura", "chiusura", "aperto", "chiuso", "ore",
+        "lunedì", "martedì", "mercoledì", "giovedì", "venerdì", "sabato", "domenica", "festivi", "feriali", "weekend", "mattina", "pomeriggio", "sera", "ricevimento", "sportello", "ufficio orari", "servizio clienti",
         "schedule", "hours", "opening hours", "opening times", "when open", "when does it open", "what time", "open", "closed", "business hours",
     ),
-    "address": ("indirizzo", "residenza", "domicilio", "sede", "ubicazione", "dove si trova", "dove è", "address", "residence", "headquarters", "office", "location", "street"),
+    "address": (
+        "indirizzo", "residenza", "domicilio", "sede", "ubicazione", "dove si trova", "dove è", "via", "viale", "piazza", "corso", "largo", "vicolo", "strada", "p.zza", "posizione", "località", "zona", "quartiere", "dove", "ufficio",
+        "address", "residence", "headquarters", "office", "location", "street", "st.", "avenue", "ave", "road", "rd", "square", "lane", "boulevard", "blvd",
+    ),
     "email": ("email", "e-mail", "mail", "posta", "posta elettronica", "indirizzo email", "indirizzo e-mail", "pec", "email address"),
-    "phone": ("telefono", "numero di telefono", "numero", "tel", "cellulare", "cell", "recapito telefonico", "phone", "telephone", "phone number", "number", "mobile", "contact"),
+    "phone": (
+        "telefono", "numero di telefono", "numero", "tel", "cellulare", "cell", "recapito telefonico", "contatto telefonico", "mobile", "fisso", "centralino", "chiamare", "telefonare",
+        "emergenza", "pronto soccorso", "118", "112", "113", "115", "117", "protezione civile", "contatto", "contatti", "recapito",
+        "phone", "telephone", "phone number", "number", "cellphone", "contact", "contacts", "landline",
+    ),
 }
+#: Phrases that are no part of a name: common, Italian, English; and the words of each intent.
+REMOVALS = (
+    "di", "del", "della", "dello", "dei", "degli", "delle", "il", "lo", "la", "i", "gli", "le", "per favore", "perfavore", "per cortesia", "grazie",
+    "mi puoi dire", "mi sai dire", "puoi dirmi", "potresti dirmi", "sapresti", "mi trovi", "mostrami", "dimmi", "indicami", "fornisci", "dammi", "trova", "cerca", "qual è", "numero di telefono", "telefono", "tel", "cellulare",
+    "recapito", "contatto", "contatti", "email", "e-mail", "mail", "posta", "pec", "indirizzo", "residenza", "sede", "via", "viale", "piazza", "corso", "largo", "vicolo", "mobile", "fisso",
+    "can you tell me", "could you tell me", "would you tell me", "please tell me", "tell me", "show me", "find", "search", "what is", "what's", "phone number", "phone", "telephone", "cell", "contact", "email address",
+    "address", "residence", "headquarters", "office", "street", "avenue", "road",
+)
+NAMED_BY = {
+    "schedule": ("orario", "orari", "quando", "apertura", "chiusura", "aperto", "chiuso", "ore"),
+    "phone": ("telefono", "numero", "tel", "cellulare", "mobile", "fisso", "contatto", "recapito"),
+    "email": ("email", "e-mail", "mail", "posta", "pec"),
+    "address": ("indirizzo", "residenza", "domicilio", "sede", "ubicazione"),
+}
 #: Topics that ask for every entry, in order of precedence.
 COMPLETE_TOPICS = {
     "consiglieri": ("consigliere", "consiglieri", "consiglio comunale", "presidente consiglio"),
@@ -40,8 +69,17 @@ COMPLETE_PATTERNS = (
     r"(?i)\belenco\s+(?:completo|totale|integrale)",
     r"(?i)\b(?:elenco|lista)\s+(?:di\s+)?(?:tutti|tutte)",
     r"(?i)\b(?:completo|completa|intero|intera|totale)\s+(?:elenco|lista)",
+    r"(?i)\b(?:23|ventitr[eè]|16|sedici)\s+(?:consiglieri|membri|persone)",
+    r"(?i)\btut[it]e?\s+(?:e\s+)?(?:23|ventitr[eè]|16|sedici)",
+    r"(?i)\b(?:ogni|ciascun[oa]?|qualsiasi)\s+(?:consigliere|assessore|membro)",
     r"(?i)\bsenza\s+(?:eccezioni?|esclusioni?)",
+    r"(?i)\b(?:giunta\s+e\s+consiglio|consiglio\s+e\s+giunta)",
+    r"(?i)\borgani\s+politico[-\s]?amministrativ[io]",
+    r"(?i)\b(?:chi\s+sono\s+tutti|quali\s+sono\s+tutti)\s+(?:i|gli)\s+(?:consiglieri|assessori)",
     r"(?i)\b(?:nomi\s+di\s+tutti|nomi\s+completi)",
+    r"(?i)\b(?:intera\s+amministrazione|tutta\s+l'amministrazione)",
+    r"(?i)\b(?:composizione\s+(?:completa|totale))",
+    r"(?i)\b(?:struttura\s+(?:completa|totale))\s+(?:del\s+)?(?:comune|consiglio|giunta)",
     r"(?i)\b(?:tutti|tutte)\s+(?:i|le|gli)?\s*(?:servizi|uffici|dipartimenti)",
     r"(?i)\b(?:elenco|lista)\s+(?:servizi|uffici|contatti)",
     r"(?i)\b(?:orari\s+di\s+tutti|numeri\s+di\s+tutti)",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoints
-from . import retrieval
+from . import answers, retrieval
 from .text import terms
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
@@ -82,8 +82,10 @@ def execute_intent(queries: DataFrame, docs: DataFrame, vectors: DataFrame, *, k
     return cascade(queries, stages if patterns else stages[:-1])
 
 
-def entity_name(query: Column, removals: Sequence[str]) -> Column:
-    """A query without the phrases (longest first) and marks, in single spaces: the name that it is about."""
-    phrases = "|".join("\\Q" + p + "\\E" for p in sorted(removals, key=lambda p: (-len(p), p)))
-    out = F.regexp_replace(F.lower(query), rf"(?<![\p{{L}}\p{{N}}])(?:{phrases})(?![\p{{L}}\p{{N}}])", " ") if removals else F.lower(query)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[?!.,;:]+", " "), r"\s+", " "))
+def entity_name(query: Column, intent: str, removals: Sequence[str] = answers.REMOVALS) -> Column:
+    """The name that a query is about: lower-cased, without marks, phrases (longest first) and the words of its intent, in single spaces; empty if nothing is left."""
+    phrases = dict.fromkeys((*sorted(removals, key=lambda p: -len(p)), *answers.NAMED_BY.get(intent, ())))
+    out = F.regexp_replace(F.lower(F.trim(query)), "[?.!,:;\\-\"'`“”’]", " ")
+    words = "|".join("\\Q" + p + "\\E" for p in phrases)
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])", " ") if phrases else out
+    return F.trim(F.regexp_replace(out, r"\s+", " "))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,18 +86,83 @@ def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None
     return rows.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
+#: Terms of all queries that go to every task (some 20 MB); beyond that queries meet documents by a join. Cells of a block of scores.
+BROADCAST_TERMS, SCORE_CELLS = 1 << 20, 1 << 21
+_SCALE = 0.1 / 1.64493406685
+_WORD = re.compile("[a-z0-9]{2,}")
+
+
 def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, *, most_terms: int | None = None) -> DataFrame:
     """OR query rank: the mean over the query's terms of 0.1 * H2(n) / 1.64493406685.
 
     H2(n) is the sum of 1/j^2 for j up to n, the occurrences of the term. A
-    query has its first ``most_terms`` distinct terms, or all.
+    query has its first ``most_terms`` distinct terms, or all. Up to
+    BROADCAST_TERMS terms of queries go to the documents, which are scored where
+    they are, block by block: only ``k`` rows of each block and query go on.
+    More terms meet the documents by a join. ``doc_id`` tells texts apart;
+    texts without one are left out.
     """
     asked = queries.select("query_id", terms(F.col("text"), most_terms).alias("terms"))
-    asked = asked.select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
-    h2 = F.expr("aggregate(sequence(1, int(n)), 0D, (s, j) -> s + 1D / (j * j))")
-    hits = postings(docs, "doc_id", "text", asked).join(asked, "term").select("query_id", "doc_id", "m", "term", h2.alias("h"))
-    score = F.round(F.sum("h") * 0.1 / 1.64493406685 / F.max("m"), 6)
-    return top_k(hits.groupBy("query_id", "doc_id").agg(score.alias("score")), "query_id", k, F.desc("score"), F.col("doc_id"))
+    asked = asked.select(F.col("query_id").cast("long").alias("query_id"), F.size("terms").cast("long").alias("m"), F.explode("terms").alias("term"))
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        scored = _scored_in_place(asked, docs, k)
+    else:
+        h2 = F.expr("aggregate(sequence(1, int(n)), 0D, (s, j) -> s + 1D / (j * j))")
+        hits = postings(docs.filter("doc_id is not null"), "doc_id", "text", asked).join(asked, "term").select("query_id", "doc_id", "m", "term", h2.alias("h"))
+        scored = hits.groupBy("query_id", "doc_id").agg((F.sum("h") * _SCALE / F.max("m")).alias("score"))
+    scored = scored.withColumn("score", F.round("score", 6))
+    return top_k(scored, "query_id", k, F.desc("score"), F.col("doc_id"))
+
+
+def _scored_in_place(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the best ``k`` documents of each block for every query that they share a term with."""
+    table = asked.toArrow()
+    query, m = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("query_id", "m"))
+    ids, of = np.unique(query, return_inverse=True)
+    sizes = np.ones(len(ids))
+    sizes[of] = m
+    order = np.argsort(of, kind="stable")
+    words = table.column("term").to_pylist()
+    by_term: dict[str, list[int]] = {}
+    for i in order.tolist():
+        by_term.setdefault(words[i], []).append(int(of[i]))
+    sent = docs.sparkSession.sparkContext.broadcast((ids, sizes, {t: np.array(q, np.int64) for t, q in by_term.items()}))
+
+    def best(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids, sizes, _ = sent.value
+        found.sort(key=lambda x: x[0])  # of equal scores the smaller id is first
+        scores = np.stack([s for _, s in found])
+        # the same order as after rounding to six digits
+        place = np.argsort(-np.floor(scores * (_SCALE / sizes) * 1e6 + 0.5), axis=0, kind="stable")[:k]
+        which = np.broadcast_to(np.arange(len(ids)), place.shape)
+        hit = scores[place, which] > 0
+        own = np.array([i for i, _ in found], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[which[hit]]), pa.array(own[place[hit]]), pa.array(scores[place, which][hit] * (_SCALE / sizes[which[hit]]))], names=["query_id", "doc_id", "score"])
+
+    def run(batches):
+        ids, _, queries_of = sent.value
+        if not len(ids):
+            return
+        most, found, h2 = max(1, SCORE_CELLS // len(ids)), [], np.zeros(1)
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = Counter(_WORD.findall(text.lower()))
+                shared = [t for t in held if t in queries_of]
+                if not shared:
+                    continue
+                counts = np.array([held[t] for t in shared])
+                if counts.max() >= len(h2):
+                    h2 = np.r_[0.0, np.cumsum(1.0 / np.arange(1, 2 * counts.max() + 1) ** 2)]
+                lists = [queries_of[t] for t in shared]
+                found.append((doc, np.bincount(np.concatenate(lists), weights=np.repeat(h2[counts], [len(x) for x in lists]), minlength=len(ids))))
+                if len(found) >= most:
+                    yield best(found)
+                    found = []
+        if found:
+            yield best(found)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def fuse(ranked: DataFrame, k: int = 60) -> DataFrame:

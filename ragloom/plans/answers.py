@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import answers
+from ..operators import answers, cascade
 from .registry import PARTS, TURNS, add, add_derived, spread
 
 
@@ -61,22 +63,28 @@ add("QS8_form_triggers", "conversations", lambda c: c.filter("role = 'user'").se
       WHEN turn + 1 >= 3 THEN 'survey:messages' END AS "trigger" FROM (SELECT *, lower(coalesce(text, '')) AS m FROM conversations WHERE role = 'user')""")
 
 _QUERIES = """SELECT * FROM (VALUES (1, 'Chi sono  gli assessori?'), (2, 'potresti dirmi gli orari dello sportello...'), (3, 'SOW template'), (4, 'l''elenco dei consiglieri'),
-    (5, 'vorrei sapere la composizione della giunta'), (6, '?!'), (7, 'telefono e orari di apertura'), (8, 'tutti i consiglieri'), (9, 'elenco completo uffici'), (10, 'sindaco e amministrativo'), (11, 'servizi uffici e settori')) AS t(id, query)"""
+    (5, 'vorrei sapere la composizione della giunta'), (6, '?!'), (7, 'telefono e orari di apertura'), (8, 'tutti i consiglieri'), (9, 'elenco completo uffici'), (10, 'sindaco e amministrativo'), (11, 'servizi uffici e settori'), (12, 'i 23 consiglieri'),
+    (13, 'tutte e 16'), (14, 'ciascun membro della giunta e consiglio'), (15, 'organi politico-amministrativi'), (16, 'tutta l''amministrazione'), (17, 'struttura completa del comune')) AS t(id, query)"""
 _NORMALISED = "regexp_replace(trim(query), '[?!.]+$', '')"
 for _pattern, _to in answers.LEAD_INS:
     _NORMALISED = f"regexp_replace({_NORMALISED}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{_to.replace('$', chr(92))}', 'g')"
-add_derived("X1_normalised_query", {"q": spread(_QUERIES, 11, "query", PARTS, "k", "query")}, lambda q: q.select("id", answers.normalise_query(F.col("query")).alias("query")),
+add_derived("X1_normalised_query", {"q": spread(_QUERIES, 17, "query", PARTS, "k", "query")}, lambda q: q.select("id", answers.normalise_query(F.col("query")).alias("query")),
     f"SELECT id, CASE WHEN x = '' THEN query ELSE x END AS query FROM (SELECT *, trim(regexp_replace({_NORMALISED}, '\\s+', ' ', 'g')) AS x FROM q)")
 
 _HITS = {t: _count("lower(query)", w) for t, w in answers.COMPLETE_TOPICS.items()}
-_BY_PATTERN = " OR ".join(f"regexp_matches(query, '{p}')" for p in answers.COMPLETE_PATTERNS)
+_BY_PATTERN = " OR ".join("regexp_matches(query, '{}')".format(p.replace("'", "''")) for p in answers.COMPLETE_PATTERNS)
 _FIRST = lambda least, value: "CASE " + " ".join(f"WHEN {h} >= {least} THEN {value(t, h)}" for t, h in _HITS.items()) + " END"
-add_derived("X11_completeness", {"q": spread(_QUERIES, 11, "query", PARTS, "k", "query")}, lambda q: q.select("id", answers.completeness(F.col("query")).alias("c")).select("id", "c.*"),
+add_derived("X11_completeness", {"q": spread(_QUERIES, 17, "query", PARTS, "k", "query")}, lambda q: q.select("id", answers.completeness(F.col("query")).alias("c")).select("id", "c.*"),
     f"""SELECT id, p OR topic IS NOT NULL AS complete, CASE WHEN p THEN 'pattern' WHEN topic IS NOT NULL THEN 'topic' ELSE 'normal' END AS kind, CASE WHEN p THEN first ELSE topic END AS topic,
     CASE WHEN p THEN 0.9 WHEN topic IS NOT NULL THEN least(0.95, round(0.7 + n * 0.1, 2)) ELSE 0 END::DOUBLE AS confidence
     FROM (SELECT *, ({_BY_PATTERN}) AS p, {_FIRST(2, lambda t, h: f"'{t}'")} AS topic, {_FIRST(1, lambda t, h: f"'{t}'")} AS first, {_FIRST(2, lambda t, h: h)} AS n FROM q)""")
 
 _KEYWORDS = "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(i, w.replace("'", "''")) for i, words in answers.INTENT_WORDS.items() for w in words) + ") AS t(intent, keyword)"
+_NAMED = """SELECT * FROM (VALUES (1, 'Qual è il numero di telefono di'), (2, 'mi puoi dire gli orari di apertura:'), (3, 'dove? indirizzo della sede'), (4, 'what is the phone number -'), (5, 'telefono')) AS t(id, query)"""
+_PHRASES = "|".join(re.escape(p).replace("\\ ", " ").replace("'", "''") for p in dict.fromkeys((*sorted(answers.REMOVALS, key=lambda p: -len(p)), *answers.NAMED_BY["phone"])))
+# blanks around every word, so that boundaries are blanks on both sides
+add_derived("X10_entity_name", {"q": spread(_NAMED, 5, "query", PARTS, "k", "query")}, lambda q: q.select("id", cascade.entity_name(F.col("query"), "phone").alias("name")), rf"""
+    SELECT id, trim(regexp_replace(regexp_replace(' ' || regexp_replace(regexp_replace(lower(trim(query)), '[-?.!,:;"''`“”’]', ' ', 'g'), '\s+', '  ', 'g') || ' ', ' (?:{_PHRASES.replace(" ", "  ")}) ', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM q""")
 _ASKED = """SELECT * FROM (VALUES (1, 'orari di apertura', 'orari di apertura'), (2, 'telefono ufficio', 'telefono ufficio cellulare'), (3, 'where is the office', 'where is the office address'), (4, 'pec', 'pec email'), (5, 'qualcosa di molto lungo e diverso', 'altro')) AS t(id, query, expanded)"""
 _ASKED_BY = spread(_ASKED, 5, "query expanded", TURNS.replace("coalesce(text, '')", "lower(coalesce(text, ''))"), "k", "query expanded")
 _INTENTS = """, m AS (SELECT id, intent, sum(CASE WHEN contains(query, keyword) THEN length(keyword) / greatest(length(query), 1)::DOUBLE WHEN contains(expanded, keyword) THEN length(keyword) / greatest(length(query), 1)::DOUBLE * 0.5 ELSE 0 END) AS score

@@ -93,9 +93,10 @@ def test_intent_by_stages(spark):
 
 
 def test_entity_name(spark):
-    df = spark.createDataFrame([("Qual è il telefono dell'anagrafe?",), ("telefono",), (None,), ("telefonomania oggi",)], "q string")
-    got = [r[0] for r in df.select(cascade.entity_name(F.col("q"), ["qual è", "il telefono", "telefono", "dell'"])).collect()]
-    assert got == ["dell'anagrafe", "", None, "telefonomania oggi"]
+    df = spark.createDataFrame([("Qual è il telefono dell'Anagrafe centrale?",), ("telefono",), (None,), ("Telefonomania: orari di apertura",), ("  numero di telefono del Sindaco  ",)], "q string")
+    got = [tuple(r) for r in df.select(*(cascade.entity_name(F.col("q"), i) for i in ("phone", "schedule"))).collect()]
+    assert got == [("dell anagrafe centrale",) * 2, ("", ""), (None, None), ("telefonomania orari apertura", "telefonomania"), ("sindaco", "sindaco")]
+    assert df.select(cascade.entity_name(F.col("q"), "", ())).collect()[1][0] == "telefono"
 
 
 # --- crawls ---
