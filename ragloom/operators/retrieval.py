@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .text import terms
 
 
@@ -162,7 +163,7 @@ def _scored_in_place(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield best(found)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "query_id long, doc_id long, score double")
+    return dealt(rows, "doc_id").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def fuse(ranked: DataFrame, k: int = 60) -> DataFrame:

@@ -42,6 +42,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip(os.sep)}/{table}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores by a hash of ``key``, if they come in fewer partitions (as a file of one row group does); as they are otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the folder of ``spark.checkpoint.dir``; to a temporary one only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,9 +11,26 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ragloom.operators import cascade, crawl, similarity
+from ragloom.operators import cascade, crawl, retrieval, similarity
 from ragloom.streaming import metrics
 
+# --- lexical search ---
+
+
+def test_scores_in_place_as_by_a_join(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = ["alpha", "beta", "gamma", "x1", "zeta", "È", "a"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(rnd.randrange(0, 12))) for i in range(60)] + [(70, None), (None, "alpha"), (71, ""), (72, "Alpha-ALPHA")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "Zeta? x1."), (3, "nothing here"), (4, None), (5, "a"), (None, "gamma")], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 30)
+    here = sorted(map(tuple, retrieval.lexical_top_k(queries.filter("query_id is not null"), docs, 4).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    joined = sorted(map(tuple, retrieval.lexical_top_k(queries.filter("query_id is not null"), docs, 4).collect()))
+    assert here == joined and {r[0] for r in here} == {1, 2}
+    assert retrieval.lexical_top_k(queries, docs.limit(0), 4).collect() == []
+
+
 # --- similar questions ---
 
 
