@@ -89,10 +89,7 @@ def build_model(samples: dict[str, str]) -> LanguageModel:
     letters = sorted({c for s in samples.values() for c in s} - {" "})
     width = len(letters) + 2  # column 0: space; the last: any other letter
     classes = np.zeros(0x110000, np.uint8 if width < 256 else np.uint16)
-    marks = np.frombuffer("".join(map(chr, range(0xD800))).encode("utf-32-le"), np.uint32)
-    alpha = np.fromiter((chr(c).isalpha() for c in marks.tolist()), bool, len(marks))
-    classes[: len(alpha)][alpha] = width - 1
-    classes[0xE000:] = width - 1
+    classes[np.fromiter((chr(c).isalpha() for c in range(len(classes))), bool, len(classes))] = width - 1
     for k, c in enumerate(letters, 1):
         classes[ord(c)] = k
     column = {c: k for k, c in enumerate(letters, 1)} | {" ": 0}

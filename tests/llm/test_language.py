@@ -24,7 +24,7 @@ def test_phrases_as_by_search():
     samples = {"aa": draw("abc de", 300), "bb": draw("xyz abé", 500), "cc": draw("日本語テ ", 200), "dd": "a"}
     samples = {k: language_id.normalise(v) for k, v in samples.items()}
     model = language_id.build_model(samples)
-    texts = [draw("abc dexyzé日本!", rnd.randrange(1, 200)) for _ in range(40)] + ["q", "Q q 1", "日本"]
+    texts = [draw("abc dexyzé日本!", rnd.randrange(1, 200)) for _ in range(40)] + ["q", "Q q 1", "日本", "abc 😀 def", "ab\ue000cd", "𝐚𝐛 xyz"]
     got, lens = language_id.phrase_counts(texts, model)
     for k, text in enumerate(texts):
         low = language_id.normalise(text)
