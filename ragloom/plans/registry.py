@@ -24,7 +24,7 @@ def add(name: str, table: str, build: Callable[[DataFrame], DataFrame], sql: str
         ORACLE[name] = sql
 
 
-def add_derived(name: str, tables: dict[str, str], build: Callable[..., DataFrame], sql: str) -> None:
+def add_derived(name: str, tables: dict[str, str], build: Callable[..., DataFrame], sql: str | None) -> None:
     """A query over tables in the shape of settings and requests, which SQL text (the same for Spark and DuckDB) makes of the given ones."""
     given = [t for t in TABLES if re.search(rf"\b{t}\b", " ".join(tables.values()))]
 
@@ -34,7 +34,8 @@ def add_derived(name: str, tables: dict[str, str], build: Callable[..., DataFram
         return build(*(spark.sql(t) for t in tables.values()))
 
     QUERIES[name] = query
-    ORACLE[name] = "WITH " + ", ".join(f"{k} AS ({t})" for k, t in tables.items()) + f" {sql}"
+    if sql:
+        ORACLE[name] = "WITH " + ", ".join(f"{k} AS ({t})" for k, t in tables.items()) + f" {sql}"
 
 
 def spread(cases: str, n: int, columns: str, given: str, key: str, into: str = "", text: str = "text") -> str:
