@@ -11,6 +11,7 @@ from ..operators import cascade, crawl, similarity
 from ..session import ensure_checkpoints, load
 from ..streaming import metrics
 from .registry import _LEX, ORACLE, QUERIES, add, add_many
+from .texts import LINKS
 
 _TERMS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2))"
 _COSINE, _RANK, _PATTERNS = 0.3, 0.032, ("the that", "de la", "und")
@@ -61,7 +62,13 @@ def _crawl(pages: DataFrame) -> DataFrame:
     return crawl.crawl(crawl.ordered_links(pages), seeds, max_depth=_DEPTH, max_pages=_PAGES, allowed=~F.col("url").rlike(r"\.(pdf|zip)$"))
 
 
-add("G2_capped_crawl", "pages", _crawl, None)
+# level by level: the first page that links to an address, then the place of the link
+_LEVEL = "SELECT url, row_number() OVER (ORDER BY b.page, b.position) AS r FROM (SELECT target AS url, min({{'page': l.rank, 'position': position}}) AS b FROM links JOIN {last} l USING (url) WHERE target <> links.url AND NOT regexp_matches(target, '[.](pdf|zip)$') AND target NOT IN ({seen}) GROUP BY target)"
+add("G2_capped_crawl", "pages", _crawl, f"""WITH {LINKS},
+zero AS (SELECT url, row_number() OVER (ORDER BY min(page_id), url) AS rank FROM pages WHERE contains(url, 'utm_source=feed') AND NOT regexp_matches(url, '[.](pdf|zip)$') GROUP BY url QUALIFY rank <= {_PAGES}),
+one AS (SELECT url, r + (SELECT count(*) FROM zero) AS rank FROM ({_LEVEL.format(last="zero", seen="SELECT url FROM zero")}) WHERE r + (SELECT count(*) FROM zero) <= {_PAGES}),
+two AS (SELECT url, r + (SELECT count(*) FROM zero) + (SELECT count(*) FROM one) AS rank FROM ({_LEVEL.format(last="one", seen="SELECT url FROM zero UNION ALL SELECT url FROM one")}) WHERE r + (SELECT count(*) FROM zero) + (SELECT count(*) FROM one) <= {_PAGES})
+SELECT url, 0 AS depth, rank, TRUE AS expanded FROM zero UNION ALL SELECT url, 1, rank, TRUE FROM one UNION ALL SELECT url, 2, rank, FALSE FROM two""")
 
 
 def _collected(pages: DataFrame) -> DataFrame:

@@ -30,12 +30,22 @@ add("X78_scores", "pages", lambda p: p.select("page_id", F.array_join(scalars.sc
 add("E10_emails", "documents", lambda d: d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), 0))).alias("email")), r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS email FROM documents")
 add("E14_bare_urls", "documents", lambda d: d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"https?://[A-Za-z0-9./_-]+"), 0))).alias("url")), "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./_-]+')) AS url FROM documents")
 add("E8_label_line", "documents", lambda d: d.select("doc_id", F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("les"))), 0).alias("line")).filter("line is not null"), "SELECT doc_id, line FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'les'))[1] AS line FROM documents) WHERE line IS NOT NULL")
-add("X45_resolve", "pages", lambda p: p.select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("href")).select("page_id", "href", scalars.resolve(F.col("href"), F.col("url")).alias("target")), None)
+# the address of a link: absolute, with the page's scheme, below its host or below its folder; no other schemes
+_ORIGIN = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)"
+_FOLDER = f"coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z]+://[^/]+.*/)[^/]*$', 1), ''), {_ORIGIN} || '/')"
+TARGET = f"""CASE WHEN regexp_matches(bare, '^https?://') THEN bare WHEN starts_with(bare, '//') THEN regexp_extract(url, '^([a-zA-Z]+):', 1) || ':' || bare WHEN regexp_matches(bare, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
+    WHEN starts_with(bare, '/') THEN {_ORIGIN} || bare WHEN length(bare) > 0 THEN {_FOLDER} || bare END"""
+LINKS = f"""hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href="([^"]+)"', 1)))) AS position FROM pages),
+links AS (SELECT page_id, url, href, position, {TARGET} AS target FROM (SELECT *, regexp_replace(href, '#.*$', '') AS bare FROM hrefs))"""
+add("X45_resolve", "pages", lambda p: p.select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("href")).select("page_id", "href", scalars.resolve(F.col("href"), F.col("url")).alias("target")), f"WITH {LINKS} SELECT DISTINCT page_id, href, target FROM links")
 add("C2_paragraph_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200).select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
 add("C3_sentence_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200, "sentence").select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
 add("C9_without_tables", "documents", lambda d: d.select("doc_id", F.md5(chunking.without_tables(F.col("text"))).alias("digest")), "SELECT doc_id, md5(coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) < 2 AND length(trim(x)) > 0), chr(10)), '')) AS digest FROM documents")
 add("X26_flat_tables", "documents", lambda d: chunking.flat_tables(d, "doc_id", "text"), None)
-add("G1_reach", "pages", lambda p: crawl.reach(crawl.links(p), p.filter(F.contains("url", F.lit("utm_source=feed"))).select("url"), 2), None)
+add("G1_reach", "pages", lambda p: crawl.reach(crawl.links(p), p.filter(F.contains("url", F.lit("utm_source=feed"))).select("url"), 2), f"""WITH {LINKS}, seeds AS (SELECT DISTINCT url FROM pages WHERE contains(url, 'utm_source=feed')),
+    one AS (SELECT DISTINCT target AS url FROM links WHERE target <> url AND url IN (SELECT url FROM seeds) AND target NOT IN (SELECT url FROM seeds)),
+    two AS (SELECT DISTINCT target AS url FROM links WHERE target <> url AND url IN (SELECT url FROM one) AND target NOT IN (SELECT url FROM seeds UNION ALL SELECT url FROM one))
+    SELECT url, 0 AS depth FROM seeds UNION ALL SELECT url, 1 FROM one UNION ALL SELECT url, 2 FROM two""")
 
 
 def _reranked(b: DataFrame, d: DataFrame) -> DataFrame:
