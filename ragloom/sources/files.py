@@ -8,7 +8,6 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,11 +142,11 @@ def upsert_vectors(rows: DataFrame, path: str, tenant: str = "tenant_id", doc: s
     """Vectors under their packed ids; the tenants in ``rows`` are replaced by old rows of other documents and these."""
     new = rows.withColumn("id", pack_key(F.col(doc), F.col(index)))
     spark = rows.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:  # nothing there yet
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # a table that can't be read is an error
         replace_partitions(new, path, tenant)
         return
+    old = spark.read.parquet(path)
     kept = old.join(new.select(tenant, doc).distinct(), [tenant, doc], "left_anti").join(new.select(tenant).distinct(), tenant, "left_semi")
     ensure_checkpoints(spark)
     replace_partitions(kept.unionByName(new).checkpoint(), path, tenant)  # read before it is overwritten

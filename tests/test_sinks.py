@@ -1,5 +1,7 @@
 """Sinks: what is written and what stays."""
 
+import pytest
+
 from ragloom.operators import contacts
 from ragloom.sources import files
 
@@ -13,6 +15,15 @@ def test_vectors_are_replaced_by_document(spark, tmp_path):
     assert got == [(1, 1_000_000, 9.0), (1, 1_100_000, 3.0), (2, 1_000_000, 4.0)]
 
 
+def test_an_unreadable_table_is_no_absent_one(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "part.parquet").write_text("broken")
+    rows = spark.createDataFrame([(1, 10, 0, [9.0])], "tenant_id int, doc_id long, chunk_index int, v array<double>")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        files.upsert_vectors(rows, f"{tmp_path}/v")
+    assert (tmp_path / "v" / "part.parquet").read_text() == "broken"
+
+
 def test_submissions_have_a_column_for_each_field(spark, tmp_path):
     rows = spark.createDataFrame([(1, '{"name": "A \\"x\\"", "other": "z"}'), (2, None)], "id int, data string")
     files.write_submissions_csv(rows, f"{tmp_path}/s", ["name", "mail"])
