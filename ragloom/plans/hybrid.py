@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, hybrid
+from ..operators import answering, answers, hybrid, text
 from .registry import _LEX, add, add_derived, add_many, spread
 
 _BOOSTS = answers.Boosts(base=1.1, upload=1.5, locations={"that": 1.2})
@@ -25,6 +25,18 @@ bo AS (SELECT query_id, doc_id, round(score * 1.1::DOUBLE * CASE WHEN source = '
 be AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS "rank" FROM bo)
 SELECT query_id, doc_id, score, "rank", round(least(1.0, 10 * sum(CASE WHEN "rank" <= 3 THEN score END) OVER (PARTITION BY query_id)), 6) AS confidence FROM be WHERE "rank" <= 5""")
 
+def _answered(b, d, v):
+    """Items of ``benchmark`` as questions over chunks of ``documents``; a document's first chunk has its vector."""
+    chunks = text.hard_chunks(d.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 1_500, 200).select("doc_id", "chunk_index", F.col("content").alias("text"))
+    vectors = v.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("embedding").cast("array<double>").alias("v")).dropDuplicates(["doc_id"])
+    queries = b.select(F.col("item_id").alias("query_id"), "text").join(vectors.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), "query_id", "left")
+    docs = d.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id")).alias("title"), F.when(F.col("source") == "books", "upload").otherwise(F.col("source")).alias("source"))
+    found = answering.answer(queries, chunks.join(vectors, ["doc_id", "chunk_index"], "left"), docs, answering.Plan(boosts=_BOOSTS, least_confidence=0.2, least_citations=3, force=False), within=F.col("source") != "web")
+    return found.withColumn("context", F.md5("context"))
+
+
+add_many("R15_answered", ["benchmark", "documents", "embeddings"], _answered, None)
+
 _RATED = """SELECT * FROM (VALUES (1, 1, 0.9, 'Orari: telefono 06 1234567 e email info@example.org in via Roma 1, 9:00 - 12:00.', 'Orari', 'Orari ufficio comune', 'https://www.comune.example.org/uffici/orari', 'pdf', '06 1', 'i@e.org', NULL, '9-12'),
     (1, 2, 0.5, 'Testo breve', NULL, NULL, NULL, 'txt', NULL, NULL, NULL, NULL), (1, 3, NULL, '- uno\n- due', 'x', 'Informazioni utili', 'https://a.example.gov/x', NULL, NULL, NULL, 'via Roma', NULL)) AS t(q, position, score, text, snippet, title, url, kind, phone, email, address, schedule)"""
 _RATED_CASES = spread(_RATED.replace("t(q, position,", "t(q, id,"), 3, "score text snippet title url kind phone email address schedule", "documents", "doc_id", "text")
