@@ -29,19 +29,32 @@ def with_neighbours(chunks: DataFrame, doc: str, index: str, text: str, radius:
     return rows.withColumn("context", F.array_join(F.concat(F.array(cut(F.coalesce(F.col(text), F.lit("")), own)), parts), "\n")).drop("_near")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _words(text: Column) -> Column:
+    """Lower-cased words of three characters or more that are no stop words."""
+    return F.filter(F.split(F.lower(text), r"\W+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+
+
 def keywords(text: Column) -> Column:
     """Distinct words of three characters or more that are no stop words, with their weights: occurrences times 1, 1.3 if long, 0.5 more if weighty."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
     weight = lambda w: F.lit(1.0) + F.when(F.length(w) >= 6, 0.3).otherwise(0.0) + F.when(w.isin(*WEIGHTY), 0.5).otherwise(0.0)
-    return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), (F.size(F.filter(words, lambda x: x == w)) * weight(w)).alias("weight")))
+    return _let(_words(text), lambda words: F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), (F.size(F.filter(words, lambda x: x == w)) * weight(w)).alias("weight"))))
 
 
 def coverage(query: Column, text: Column) -> Column:
     """Share of the query's keyword weight that stands in the text, 0.7 of a weight for a similar word; one half without keywords."""
-    asked, there = keywords(query), F.transform(keywords(text), lambda k: k["word"])
-    part = lambda k: F.when(F.array_contains(there, k["word"]), k["weight"]).when(F.exists(there, lambda t: scalars.similar_words(k["word"], t)), k["weight"] * 0.7).otherwise(0.0)
-    total = F.aggregate(asked, F.lit(0.0), lambda s, k: s + k["weight"])
-    return F.when(F.size(asked) == 0, 0.5).otherwise(F.aggregate(asked, F.lit(0.0), lambda s, k: s + part(k)) / total)
+
+    def share(asked: Column, there: Column) -> Column:
+        part = lambda k: F.when(F.array_contains(there, k["word"]), k["weight"]).when(F.exists(there, lambda t: scalars.similar_words(k["word"], t)), k["weight"] * 0.7).otherwise(0.0)
+        total = F.aggregate(asked, F.lit(0.0), lambda s, k: s + k["weight"])
+        return F.when(F.size(asked) == 0, 0.5).otherwise(F.aggregate(asked, F.lit(0.0), lambda s, k: s + part(k)) / total)
+
+    both = F.struct(keywords(query).alias("asked"), F.array_distinct(_words(text)).alias("there"))
+    return _let(both, lambda x: share(x["asked"], x["there"]))
 
 
 def length_factor(text: Column) -> Column:
