@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cascade, crawl, similarity
+from ..operators import cascade, crawl, filtered_search, similarity
 from ..session import ensure_checkpoints, load
 from ..streaming import metrics
 from .registry import _LEX, ORACLE, QUERIES, add, add_many
@@ -54,6 +54,15 @@ p AS (SELECT item_id, question_id, CASE WHEN contains(lower(text), q) THEN 200.0
     CASE WHEN len(words) > 0 THEN 100.0::DOUBLE * len(list_filter(words, lambda x: contains(lower(text), x))) / len(words) ELSE 0 END AS word_percent FROM benchmark, w)
 SELECT item_id, question_id, round(percent, 6) AS percent, round(word_percent, 6) AS word_percent FROM p WHERE percent >= 70 OR word_percent >= 60""")
 
+def _filtered(v: DataFrame) -> DataFrame:
+    """Every row whose id is divisible by 100 against all vectors of its label."""
+    rows = v.select(F.col("vec_id").alias("id"), F.col("label").alias("tenant"), F.col("embedding").alias("v"))
+    queries = rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "tenant", F.col("v").alias("q"))
+    return filtered_search.search(queries, rows, 10)
+
+
+add("T2_tenant_top_k", "embeddings", _filtered, None)
+
 _DEPTH, _PAGES = 2, 400
 
 
