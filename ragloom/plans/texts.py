@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import chunking, crawl, ranking, retrieval
-from .registry import add, add_many
+from .registry import add, add_derived, add_many
 
 add("X15_excerpt", "documents", lambda d: d.select("doc_id", scalars.excerpt(F.col("text"), F.lit(300), 120).alias("excerpt")), """SELECT doc_id, CASE WHEN n <= 120 THEN text ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(text, s + 1, 120) || CASE WHEN s + 120 < n THEN '…' ELSE '' END END AS excerpt
     FROM (SELECT *, length(text) AS n, greatest(0, least(240, length(text) - 120)) AS s FROM documents)""")
@@ -41,7 +41,18 @@ add("X45_resolve", "pages", lambda p: p.select("page_id", "url", F.explode(F.arr
 add("C2_paragraph_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200).select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
 add("C3_sentence_chunks", "documents", lambda d: chunking.chunks(d.select("doc_id", "text"), "text", 1_500, 200, "sentence").select("doc_id", "chunk_index", F.md5("content").alias("digest")), None)
 add("C9_without_tables", "documents", lambda d: d.select("doc_id", F.md5(chunking.without_tables(F.col("text"))).alias("digest")), "SELECT doc_id, md5(coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) < 2 AND length(trim(x)) > 0), chr(10)), '')) AS digest FROM documents")
-add("X26_flat_tables", "documents", lambda d: chunking.flat_tables(d, "doc_id", "text"), None)
+# the same over texts with tables of three kinds
+_TABLES = r"""'before' || chr(10) || '| Name | Phone |' || chr(10) || '|---|:--:|' || chr(10) || '| Ada ' || doc_id || ' | 06 1 |' || chr(10) || '| | only |' || chr(10) || 'between | one' || chr(10) || 'a|b|c' || chr(10) || '1|2|3|4' || chr(10) || '|x|'
+    || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'a lone | row | here' || chr(10) || substr(text, 1, 300) ELSE '' END"""
+_CELLS = lambda c: rf"list_transform(string_split(regexp_replace({c}, '^\s*\||\|\s*$', '', 'g'), '|'), lambda x: trim(x))"
+_FLAT = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, unnest(range(len(string_split(text, chr(10))))) AS at_line FROM t),
+r AS (SELECT *, at_line - row_number() OVER (PARTITION BY doc_id ORDER BY at_line) AS run FROM l WHERE length(c) - length(replace(c, '|', '')) >= 2),
+n AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM r) WHERE n > 1 AND NOT regexp_matches(c, '^[\s|:-]+$')),
+k AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY run)::INT AS "table", row_number() OVER (PARTITION BY doc_id, run ORDER BY at_line)::INT AS line, {_CELLS('trim(c)')} AS v FROM n)
+SELECT b.doc_id, b."table", b.line, coalesce(array_to_string(list_filter(list_transform(range(1, greatest(len(h.v), len(b.v)) + 1), lambda i: CASE WHEN length(b.v[i]) > 0 THEN coalesce(h.v[i] || ': ', '') || b.v[i] END), lambda x: x IS NOT NULL), '; '), '') AS flat
+FROM k b JOIN k h ON h.doc_id = b.doc_id AND h."table" = b."table" AND h.line = 1 WHERE b.line > 1"""
+add("X26_flat_tables", "documents", lambda d: chunking.flat_tables(d, "doc_id", "text"), f"WITH t AS (SELECT doc_id, text FROM documents), {_FLAT}")
+add_derived("X26_flat_contacts", {"t": f"SELECT doc_id, {_TABLES} AS text FROM documents"}, lambda t: chunking.flat_tables(t, "doc_id", "text"), "," + _FLAT)
 add("G1_reach", "pages", lambda p: crawl.reach(crawl.links(p), p.filter(F.contains("url", F.lit("utm_source=feed"))).select("url"), 2), f"""WITH {LINKS}, seeds AS (SELECT DISTINCT url FROM pages WHERE contains(url, 'utm_source=feed')),
     one AS (SELECT DISTINCT target AS url FROM links WHERE target <> url AND url IN (SELECT url FROM seeds) AND target NOT IN (SELECT url FROM seeds)),
     two AS (SELECT DISTINCT target AS url FROM links WHERE target <> url AND url IN (SELECT url FROM one) AND target NOT IN (SELECT url FROM seeds UNION ALL SELECT url FROM one))
