@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from ragloom.plans import states as plans
 from ragloom.streaming import states
 
+HANDOFFS = """SELECT h, CAST(t AS TIMESTAMP) AS t, a FROM (VALUES (1, '2024-01-01 10:00:00', 'request'), (1, '2024-01-01 10:05:00', 'request'), (2, '2024-01-01 10:00:00', 'request'), (2, '2024-01-01 10:01:00', 'assign'), (2, '2024-01-01 10:30:00', 'request'),
+    (3, '2024-01-01 09:00:00', 'request'), (3, '2024-01-01 09:10:00', 'resolve'), (3, '2024-01-01 10:50:00', 'request'), (4, '2024-01-01 09:00:00', 'request'), (4, '2024-01-01 09:10:00', 'assign'), (4, '2024-01-01 09:20:00', 'escalate'), (5, '2024-01-01 10:59:00', 'cancel'), (6, '2024-01-01 10:00:01', 'request'), (6, '2024-01-01 10:00:02', 'noise')) AS x(h, t, a)"""
+
 
 def test_handoffs_on_a_stream(spark, tmp_path):
-    events = spark.sql(plans._HANDOFFS)
+    events = spark.sql(HANDOFFS)
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
     out = states.handoff_stream(stream, "h", "t", "a").writeStream.format("memory").queryName("handoffs").outputMode("update")
