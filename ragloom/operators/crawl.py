@@ -34,6 +34,17 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
+def to_fetch(candidates: DataFrame, known: DataFrame, now: Column, days: int | None) -> DataFrame:
+    """The candidates (url, …) that are not known, or were fetched ``days`` ago or longer; null days: known ones never again.
+
+    ``known``: (url, scraped_at); of several fetches the last counts, and a null
+    time is none. Each candidate stays once for each of its rows.
+    """
+    last = known.filter("url is not null").groupBy("url").agg(F.max("scraped_at").alias("scraped_at"))
+    fresh = last if days is None else last.filter(F.col("scraped_at") > now - F.make_dt_interval(F.lit(days)))
+    return candidates.join(fresh.select("url"), "url", "left_anti")
+
+
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``rank`` (from 1) in a global order, without a task that holds them all.
 

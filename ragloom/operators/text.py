@@ -62,3 +62,16 @@ def has_table(text: Column) -> Column:
 
 def digests(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("content_hash", F.sha2(text, 256)).withColumn("dedup_key", F.sha1(F.lower(F.trim(text)))).withColumn("cache_key", F.substring(F.sha2(text, 256), 1, 16))
+
+
+def holds_required(text: Column, terms_: list[str], generic: tuple[str, ...] = ()) -> Column:
+    """Whether a text holds one of the terms of three characters or more that aren't generic; without any terms all do, with generic ones only none does. Null texts count as empty."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    wanted = [t.strip().lower() for t in terms_]
+    found = [F.contains(low, F.lit(t)) for t in wanted if len(t) >= 3 and t not in generic]
+    return F.lit(not wanted) if not found else F.greatest(*found, F.lit(False))
+
+
+def dedup_key(text: Column, url: Column) -> Column:
+    """SHA-1 of lower-cased text and address, so that a text on two pages has two keys."""
+    return F.sha1(F.concat(F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit("|"), F.lower(F.trim(F.coalesce(url, F.lit(""))))).cast("binary"))

@@ -72,7 +72,7 @@ add_derived("F25_stale_crawls", {"c": _CRAWLS}, lambda c: c.select("id", scopes.
 _SCHEDULES = "SELECT p_partkey AS id, p_size AS interval_minutes, CASE WHEN p_partkey % 9 > 0 THEN TIMESTAMP '2024-01-02 12:00:00' - INTERVAL '1' MINUTE * (p_partkey % 60) END AS last_run_at FROM part"
 add_derived("G11_due_schedules", {"s": _SCHEDULES}, lambda s: s.filter(scopes.due(_as_of())).select("id"), f"SELECT id FROM s WHERE last_run_at IS NULL OR last_run_at <= {_NOW} - to_minutes(interval_minutes)")
 add("T11_polling", "events", lambda e: scopes.polled(e, "ts", "event_id", F.lit("2024-01-10").cast("timestamp_ntz"), 20, 50).select("event_id"), "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 50 OFFSET 20")
-add("T12_chunk_preview", "conversations", lambda c: c.filter("conv_id < 20").orderBy("conv_id", "turn").select("conv_id", "turn", F.substring("text", 1, 60).alias("preview")), "SELECT conv_id, turn, substr(text, 1, 60) AS preview FROM conversations WHERE conv_id < 20")
+add("T12_chunk_preview", "conversations", lambda c: c.orderBy("conv_id", "turn").select("conv_id", "turn", F.substring("text", 1, 60).alias("preview")), "SELECT conv_id, turn, substr(text, 1, 60) AS preview FROM conversations")
 add("X79_source_url", "pages", lambda p: p.select("page_id", scopes.source_url(F.col("html")).alias("source")), r"SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)\*\*URL:\*\*\s+(https?://[^\s]+)', 1), ''), nullif(regexp_extract(html, '(?i)(https?://[^\s)]+)', 1), '')) AS source FROM pages")
 _PLANS = "SELECT p_partkey AS id, p_size AS seeds, CAST(p_partkey % 50 AS INT) AS sitemap, CAST(p_partkey % 4 AS INT) AS depth, p_partkey % 2 = 0 AS scripted, CAST(p_partkey % 3 AS DOUBLE) / 64 AS per_second FROM part"
 add_derived("X80_crawl_plan", {"p": _PLANS}, lambda p: p.select("id", scopes.crawl_plan(*(F.col(c) for c in ("seeds", "sitemap", "depth", "scripted", "per_second"))).alias("e")).select("id", F.round("e.urls", 4).alias("urls"), F.round("e.seconds", 4).alias("seconds")),

@@ -31,7 +31,7 @@ add_many("F9_within_interval", ["lineitem", "orders"], lambda x, o: x.join(o, F.
     "SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= o_orderdate + INTERVAL 30 DAY GROUP BY 1")
 add("F10_overdue", "orders", lambda o: o.filter(f"o_orderstatus = 'P' and o_orderdate < timestamp_ntz'{AS_OF}' - interval 180 days").select("o_orderkey"), f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY")
 add("F13_link_only", "pages", lambda p: p.filter(F.col("url").rlike(r"[?&]page=\d+")).select("page_id"), r"SELECT page_id FROM pages WHERE regexp_matches(url, '[?&]page=\d+')")
-add_many("F15_known_and_fresh", ["pages", "benchmark"], lambda p, b: p.join(b.filter(F.col("item_id") % 30 < 7), F.col("page_id") == F.col("item_id"), "left_anti").select("page_id"), "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT item_id FROM benchmark WHERE item_id % 30 < 7)")
+add_many("F15_known_and_fresh", ["pages", "benchmark"], lambda p, b: p.join(b.filter(F.length("text") < 250), F.col("page_id") == F.col("item_id"), "left_anti").select("page_id"), "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT item_id FROM benchmark WHERE length(text) < 250)")
 add("F16_required_terms", "documents", lambda d: d.filter(has("les")[0] & has("que")[0]).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'les') AND contains(lower(text), 'que')")
 add("F17_any_pair", "documents", lambda d: d.filter(any_pair(_WORDS)).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_HAS} >= 2")
 add("F18_any_keyword", "documents", lambda d: d.filter(_low().rlike("der|les")).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'der|les')")

@@ -1,12 +1,13 @@
-"""Routing with skills, and settings over layers."""
+"""Routing with skills, settings over layers, pages to fetch again, required terms, keys of duplicates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import routing, settings
-from .registry import add_derived
+from ..functions import hours
+from ..operators import crawl, routing, settings, text
+from .registry import add, add_derived
 
 #: Pending orders ask for the segment of their customer and, every other one, for a language; suppliers have two segments each.
 _SEGMENTS = "'AUTOMOBILE,BUILDING,FURNITURE,MACHINERY,HOUSEHOLD'"
@@ -50,3 +51,9 @@ def _layered(path: str) -> str:
 
 
 add_derived("J20_settings", {"t": _TENANTS, "p": _PROFILES}, _settings, f"SELECT tenant, {', '.join(map(_layered, _PATHS))} FROM (SELECT tenant, overrides, CASE WHEN json_valid(settings) THEN settings END AS own FROM t LEFT JOIN p USING (profile))")
+
+_KNOWN = "SELECT CASE WHEN page_id % 5 > 0 THEN url ELSE url || '/old' END AS url, CASE WHEN page_id % 11 > 0 THEN TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * (page_id * 7 % 1000) END AS scraped_at FROM pages UNION ALL SELECT url, TIMESTAMP '2023-12-01 00:00:00' FROM pages"
+add_derived("F15_to_fetch", {"c": "SELECT page_id, url FROM pages", "k": _KNOWN}, lambda c, k: crawl.to_fetch(c, k, F.lit("2024-01-31 00:00:00").cast("timestamp"), 14).select("page_id", "url"),
+    "SELECT page_id, url FROM c WHERE url NOT IN (SELECT url FROM k GROUP BY url HAVING max(scraped_at) > TIMESTAMP '2024-01-17 00:00:00')")
+add("F16_required_any", "documents", lambda d: d.filter(text.holds_required(F.col("text"), ["les", "Ufficio", "of", "que"], hours.GENERIC)).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'les') OR contains(lower(text), 'que')")
+add("X48_dedup_keys", "pages", lambda p: p.select("page_id", text.dedup_key(F.col("html"), F.col("url")).alias("dedup_key")), "SELECT page_id, sha1(lower(trim(html)) || '|' || lower(trim(url))) AS dedup_key FROM pages")

@@ -7,7 +7,9 @@ import random
 
 import pytest
 
-from ragloom.operators import routing, settings
+from pyspark.sql import functions as F
+
+from ragloom.operators import crawl, routing, settings, text
 
 REQUESTS = "request_id long, tenant int, required array<string>, preferred array<string>, priority string, level int, extra string"
 OPERATORS = "operator_id long, tenant int, skills array<string>, load int, most int, minutes double, rating double, handled int"
@@ -59,3 +61,20 @@ def test_settings_of_tenants(spark):
     got = {r.tenant: json.loads(r.resolved) for r in settings.resolved(tenants, profiles, {"k": {"a": 1, "b": 2}}, tenant_defaults={"t": 0}).collect()}
     base = {"k": {"a": 1, "b": 2}, "t": 0}
     assert got == {1: base, 2: {"k": {"a": 5, "b": 9}, "t": 0, "n": {"m": True}}, 3: base, 4: {"k": {"a": 5, "b": 2}, "t": 0, "n": {"m": True}}, 5: {"k": 3, "t": 0, "n": {"m": True}}}
+
+
+def test_known_pages_come_again_when_they_are_old(spark):
+    rows = [("a", "2024-01-30"), ("b", "2024-01-01"), ("c", "2024-01-01"), ("c", "2024-01-29"), ("d", None), (None, "2024-01-30")]
+    known = spark.createDataFrame(rows, "url string, scraped_at string").withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+    urls = spark.createDataFrame([(u,) for u in ("a", "b", "c", "d", "e", "e", None)], "url string")
+    now = F.lit("2024-01-31").cast("timestamp")
+    fetch = lambda days: sorted((r.url or "") for r in crawl.to_fetch(urls, known, now, days).collect())
+    assert fetch(7) == ["", "b", "d", "e", "e"] and fetch(None) == ["", "e", "e"] and fetch(100) == ["", "d", "e", "e"]
+
+
+def test_required_terms_and_keys(spark):
+    df = spark.createDataFrame([("Anagrafe", "http://A"), ("ufficio", " http://a "), (None, None)], "t string, u string")
+    holds = lambda terms: [r[0] for r in df.select(text.holds_required(F.col("t"), terms, ("ufficio",))).collect()]
+    assert holds(["ANAGRAFE ", "ufficio"]) == [True, False, False] and holds(["ufficio", "an"]) == [False] * 3 and holds([]) == [True] * 3
+    keys = [r[0] for r in df.select(text.dedup_key(F.lit(" X"), F.col("u"))).collect()]
+    assert keys[0] == keys[1] != keys[2]
