@@ -73,5 +73,6 @@ def holds_required(text: Column, terms_: list[str], generic: tuple[str, ...] = (
 
 
 def dedup_key(text: Column, url: Column) -> Column:
-    """SHA-1 of lower-cased text and address, so that a text on two pages has two keys."""
-    return F.sha1(F.concat(F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit("|"), F.lower(F.trim(F.coalesce(url, F.lit(""))))).cast("binary"))
+    """SHA-1 of the lower-cased text and address, so that a text on two pages has two keys."""
+    both = F.concat(F.coalesce(text, F.lit("")), F.lit("|"), F.coalesce(url, F.lit("")))
+    return F.sha1(F.lower(F.trim(both)).cast("binary"))

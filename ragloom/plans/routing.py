@@ -56,4 +56,4 @@ _KNOWN = "SELECT CASE WHEN page_id % 5 > 0 THEN url ELSE url || '/old' END AS ur
 add_derived("F15_to_fetch", {"c": "SELECT page_id, url FROM pages", "k": _KNOWN}, lambda c, k: crawl.to_fetch(c, k, F.lit("2024-01-31 00:00:00").cast("timestamp"), 14).select("page_id", "url"),
     "SELECT page_id, url FROM c WHERE url NOT IN (SELECT url FROM k GROUP BY url HAVING max(scraped_at) > TIMESTAMP '2024-01-17 00:00:00')")
 add("F16_required_any", "documents", lambda d: d.filter(text.holds_required(F.col("text"), ["les", "Ufficio", "of", "que"], hours.GENERIC)).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'les') OR contains(lower(text), 'que')")
-add("X48_dedup_keys", "pages", lambda p: p.select("page_id", text.dedup_key(F.col("html"), F.col("url")).alias("dedup_key")), "SELECT page_id, sha1(lower(trim(html)) || '|' || lower(trim(url))) AS dedup_key FROM pages")
+add("X48_dedup_keys", "pages", lambda p: p.select("page_id", text.dedup_key(F.col("html"), F.col("url")).alias("dedup_key")), "SELECT page_id, sha1(lower(trim(html || '|' || url))) AS dedup_key FROM pages")

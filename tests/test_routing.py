@@ -73,7 +73,7 @@ def test_known_pages_come_again_when_they_are_old(spark):
 
 
 def test_required_terms_and_keys(spark):
-    df = spark.createDataFrame([("Anagrafe", "http://A"), ("ufficio", " http://a "), (None, None)], "t string, u string")
+    df = spark.createDataFrame([("Anagrafe", "http://A"), ("ufficio", "http://a "), (None, None)], "t string, u string")
     holds = lambda terms: [r[0] for r in df.select(text.holds_required(F.col("t"), terms, ("ufficio",))).collect()]
     assert holds(["ANAGRAFE ", "ufficio"]) == [True, False, False] and holds(["ufficio", "an"]) == [False] * 3 and holds([]) == [True] * 3
     keys = [r[0] for r in df.select(text.dedup_key(F.lit(" X"), F.col("u"))).collect()]
