@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # They must equal those of existing deployments.
@@ -22,6 +22,7 @@ NAVIGATION = (
 )
 ALLOWED = ("anagrafenazionale.interno.it", "normattiva.it", "gazzettaufficiale.it", "agenziaentrate.gov.it", "inps.it", "pec.it")
 GENERIC = ("clicca qui", "leggi tutto", "maggiori informazioni", "dettagli", "continua", "scopri", "vai", "apri", "vedi", "consulta", "modulo", "form", "documenti", "allegati", "download")
+TURNING = ("pagina", "next", "previous", "precedente", "successiva", "home", "menu")
 RELEVANT = ("comune", "cesareo", "riconoscimento", "figlio", "stato civile", "anagrafe")
 NOTE = "\n\n💡 Fonte: "
 
@@ -76,8 +77,7 @@ def without_irrelevant(text: Column, keywords: Column) -> Column:
     def goes(x: Column) -> Column:
         low, url = F.lower(x["text"]), F.lower(x["url"])
         hit = F.exists(keywords, lambda k: F.contains(low, k) | F.contains(url, k))
-        generic = reduce(lambda a, b: a | b, (F.contains(low, F.lit(g)) for g in GENERIC)) | (F.octet_length(F.trim(low)) < 5)
-        return generic & ~hit
+        return is_generic(x["text"]) & ~hit
 
     return F.when(F.coalesce(F.size(keywords), F.lit(0)) <= 0, text).otherwise(_unlinked(text, goes))
 
@@ -87,6 +87,41 @@ def with_source(text: Column, source: Column) -> Column:
     return F.when(source.isNotNull() & (source != "") & text.rlike(r"\[[^\]]+\]\([^)]+\)"), F.concat(text, F.lit(NOTE), source)).otherwise(text)
 
 
+VALID = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+\S*$"
+
+
+def is_valid(url: Column) -> Column:
+    """An absolute address without blanks, or a mail address."""
+    return url.rlike(VALID) | url.rlike("^mailto:.+@.+$")
+
+
+def is_generic(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(g)) for g in GENERIC)) | (F.octet_length(F.trim(low)) < 5)
+
+
+def is_navigation(text: Column, url: Column) -> Column:
+    """Links that turn pages: by their words, as bare numbers, or by a page in the address."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in TURNING)) | F.trim(text).rlike(r"^\d+$") | F.contains(url, F.lit("pag=")) | F.contains(url, F.lit("page="))
+
+
+def quality(citations: DataFrame, text: str, source: str, *by: str) -> DataFrame:
+    """(by, citations, links, cross_domain, navigation, malformed, relevant, score) of the links of citations; the score is the percentage of relevant ones.
+
+    Groups without a link have score 0; null texts have no links.
+    """
+    rows = citations.select(*by, host(F.col(source)).alias("_own"), F.explode_outer(_links(F.col(text))).alias("_x"))
+    at, url, label = host(F.col("_x.url")), F.col("_x.url"), F.col("_x.text")
+    flags = {
+        "links": url.isNotNull(), "cross_domain": at != F.col("_own"), "navigation": is_navigation(label, url), "malformed": ~is_valid(url) | F.contains(url, F.lit(" ")),
+        "relevant": ~is_generic(label) & is_valid(url),
+    }
+    sums = rows.groupBy(*by).agg(*(F.count_if(c).alias(n) for n, c in flags.items()))
+    score = F.round(F.when(F.col("links") > 0, F.col("relevant") / F.col("links") * 100).otherwise(0.0), 1)
+    return citations.groupBy(*by).agg(F.count("*").alias("citations")).join(sums, list(by)).withColumn("score", score)
+
+
 def issues(text: Column, source: Column) -> Column:
     """What is wrong with a text's links, distinct and in order: no_source, cross_domain, unrelated, malformed, truncated."""
     own, low = host(source), F.lower(text)
@@ -94,7 +129,7 @@ def issues(text: Column, source: Column) -> Column:
     tests = {
         "cross_domain": lambda x: F.coalesce(host(x["url"]) != own, F.lit(False)),
         "unrelated": lambda x: ~known(F.lower(x["text"])) & ~known(low) & (F.octet_length(x["text"]) > 5),
-        "malformed": lambda x: ~x["url"].rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+\S*$") & ~x["url"].rlike("^mailto:.+@.+$"),
+        "malformed": lambda x: ~is_valid(x["url"]),
         "truncated": lambda x: F.contains(x["url"], F.lit("...")) | x["url"].endswith("."),
     }
     found = [F.when(F.exists(_links(text), t), F.lit(n)) for n, t in tests.items()]

@@ -9,7 +9,7 @@ from .registry import PARTS, add_derived
 
 _TEXT = """SELECT page_id AS id, CASE WHEN page_id % 7 > 0 THEN url END AS source, 'Comune [' || (page_id % 9) || '](https://x.org/?page=' || page_id || ') [pagina](' || url || ') [Home](/) [clicca qui](https://m.example.org/' || (page_id % 5) || ')'
     || CASE page_id % 6 WHEN 0 THEN ' [legge](https://www.normattiva.it/a) [x y](http://a b)' WHEN 1 THEN ' [[doppio](http://a.org)](http://b.org) [#](x)' WHEN 2 THEN ' [altro testo](https://altro.example/...) [t](http://a.org "titolo")'
-    WHEN 3 THEN ' [script](javascript:go()) [sezione](#top)' WHEN 4 THEN ' [orari](' || url || ' ) [vai](http:\\/\\/c.org)' ELSE '' END AS text FROM pages"""
+    WHEN 3 THEN ' [script](javascript:go()) [sezione](#top)' WHEN 4 THEN ' [orari](' || url || ' ) [vai](http:' || chr(92) || '/' || chr(92) || '/c.org)' ELSE '' END AS text FROM pages"""
 # the same in the other engine; back references are \1 there
 _CLEAN = "text"
 for _p in links.NAVIGATION:
@@ -42,6 +42,13 @@ SELECT id, concat_ws(',', CASE WHEN coalesce(source, '') = '' THEN 'no_source' E
     CASE WHEN len(list_filter(l, lambda x: NOT regexp_matches(x.u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+\S*$') AND NOT regexp_matches(x.u, '^mailto:.+@.+$'))) > 0 THEN 'malformed' END,
     CASE WHEN len(list_filter(l, lambda x: contains(x.u, '...') OR ends_with(x.u, '.'))) > 0 THEN 'truncated' END) AS issues FROM (SELECT *, {_EACH.format(c="text")} AS l FROM p)""")
 
+_VALID = r"(regexp_matches(x.u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/?#]+\S*$') OR regexp_matches(x.u, '^mailto:.+@.+$'))"
+_TURNS = " OR ".join(f"contains(lower(x.t), '{t}')" for t in links.TURNING)
+add_derived("A27_link_totals", {"p": f"SELECT id % 20 AS tenant, source, text FROM ({_TEXT})"}, lambda p: links.quality(p, "text", "source", "tenant"), rf"""
+SELECT tenant, count(*) AS citations, sum(links)::BIGINT AS links, sum(a)::BIGINT AS cross_domain, sum(b)::BIGINT AS navigation, sum(c)::BIGINT AS malformed, sum(d)::BIGINT AS relevant, round(CASE WHEN sum(links) > 0 THEN sum(d) / sum(links)::DOUBLE * 100 ELSE 0 END, 1) AS score
+FROM (SELECT tenant, len(l) AS links, len(list_filter(l, lambda x: {_AT('x.u')} <> {_AT('source')})) AS a, len(list_filter(l, lambda x: {_TURNS} OR regexp_matches(trim(x.t), '^\d+$') OR contains(x.u, 'pag=') OR contains(x.u, 'page='))) AS b,
+    len(list_filter(l, lambda x: NOT {_VALID} OR contains(x.u, ' '))) AS c, len(list_filter(l, lambda x: NOT (({_GENERIC}) OR strlen(trim(x.t)) < 5) AND {_VALID})) AS d FROM (SELECT *, {_EACH.format(c="text")} AS l FROM p)) GROUP BY 1""")
+
 _SYNONYMS = {"ring": "anello, cerchio", "blue bolt": "vite blu", "bolt": "vite", "gear": ""}
 add_derived("X5_expanded_names", {"p": PARTS[1:-1]}, lambda p: p.select("k", links.expanded_name(F.col("text"), _SYNONYMS).alias("name")), """SELECT k, CASE WHEN contains(text, 'blue bolt') THEN text || ' vite blu vite blu' WHEN contains(text, 'ring') THEN text || ' anello cerchio anello, cerchio'
     WHEN contains(text, 'bolt') THEN text || ' vite' ELSE text END AS name FROM p""")

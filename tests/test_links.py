@@ -54,3 +54,9 @@ def test_names_take_the_longest_synonym(spark):
     assert name("Polizia Locale", table) == "Polizia Locale vigili urbani Comando vigili urbani, Comando"
     assert name("polizia", table) == "polizia vigili" and name("vuoto", table) == "vuoto" and name("altro", table) == "altro" and name("x", {}) == "x"
     assert name("comando polizia locale", {"polizia locale": "Comando"}) == "comando polizia locale Comando" and name("vigili", {"vigili": "Vigili"}) == "vigili"
+
+
+def test_quality_of_links(spark):
+    rows = [(1, "[anagrafe](https://a.it/x) [vai](https://b.it/y) [2](https://a.it/?page=2) [testo lungo](no address)", "https://a.it"), (1, None, None), (2, "none", "https://a.it")]
+    got = {r.k: r for r in links.quality(spark.createDataFrame(rows, "k int, t string, s string"), "t", "s", "k").collect()}
+    assert tuple(got[1]) == (1, 2, 4, 1, 1, 1, 1, 25.0) and tuple(got[2]) == (2, 1, 0, 0, 0, 0, 0, 0.0)
