@@ -3,8 +3,10 @@
 A vector is the sum of one codeword from each of several full-dimensional
 codebooks; codebooks are trained on residuals and vectors are encoded by beam
 search. With the norm of the sum stored beside the codes, the squared distance
-to a query needs one table look-up per codebook. The best by that estimate are
-ranked again by the exact distance.
+to a query needs one table look-up per codebook. What the code leaves of its
+vector is stored too, so the triangle inequality bounds the true distance on
+both sides: only vectors whose lower bound reaches the best found are measured
+exactly, and none that is truly among the nearest is missed.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .util import materialize
 from .vectors import matrix, of_size, sizes
 
-#: Vectors of a packed row, vectors of a slice, queries of a block.
-PACK = 4_096
-SLICE = 1 << 18
-QUERIES = 128
+#: Vectors of a packed row, bytes of the vectors of a slice, queries of a block, and of these so many at once.
+PACK = 2_048
+SLICE = 1 << 25
+QUERIES = 1_024
+AT_ONCE = 128
+#: What a packed row holds: ids, codes, norms of the sums, norms of what the codes leave, and the vectors.
+PACKED = ("ids", "codes", "norms", "rests", "vectors")
 
 
 @dataclass(frozen=True)
@@ -91,79 +97,140 @@ def train(x: np.ndarray, *, books: int = 24, words: int = 256, rounds: int = 6,
     return Codebooks(np.stack(found))
 
 
-def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 10, short: int = 256, beam: int = 6, sample_rows: int = 16_384) -> DataFrame:
+class Nearest:
+    """The ``top`` nearest vectors of each of some queries, fed with packs of codes and vectors."""
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, books: Codebooks, centre: np.ndarray, top: int):
+        self.own, self.q, self.top, self.centre = own, q, top, centre
+        self.near = q - centre
+        self.square = (self.near * self.near).sum(axis=1)
+        table = 2 * np.einsum("qd,mkd->mkq", self.near, books.words, optimize=True)
+        m, self.k, _ = books.shape
+        self.table = np.ascontiguousarray(table.reshape(m * self.k, len(q)).astype(np.float32))
+        #: What rounding can add to an estimate, for norms up to 0 (they add their own part).
+        self.unit = 2.0**-22 * (m + 8)
+        self.size = np.abs(table).max(axis=1).sum(axis=0) + self.square
+        self.found = np.zeros((0,), [("q", np.int64), ("score", np.float64), ("id", np.int64)])
+        self.limit = np.full(len(q), np.inf)
+
+    def _lower(self, thr: np.ndarray) -> None:
+        """The bound on what can still be among the nearest never grows; an unknown one bounds nothing."""
+        self.limit = np.fmin(self.limit, np.where(np.isnan(thr), np.inf, thr))
+
+    def feed(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, rests: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.repeat(norms.astype(np.float32)[:, None], len(self.q), axis=1)
+        for j in range(codes.shape[1]):
+            score -= self.table[codes[:, j].astype(np.int64) + j * self.k]
+        other = ids[:, None] != self.own[None, :]
+        slack = self.unit * (self.size + norms.max())
+        # squared distances of the sums of codewords, above and below; a vector is no further from its sum than its rest
+        if np.isinf(self.limit).any() and len(ids) >= self.top:
+            above = np.sqrt(np.maximum(score + (self.square + slack), 0)) + rests[:, None]
+            above[~other] = np.inf
+            self._lower(np.partition(above, self.top - 1, axis=0)[self.top - 1] * (1 + 1e-12))
+        keep = ~(score > (self.limit + rests[:, None]) ** 2 - self.square + slack) & other
+        at = np.flatnonzero(keep.any(axis=1))
+        if len(at):
+            self._measure(ids[at], vectors[at].astype(np.float64), keep[at])
+
+    def _measure(self, ids: np.ndarray, x: np.ndarray, keep: np.ndarray) -> None:
+        """Exact distances of what passed: a block product with a margin for its rounding, then the sum of squares, one component after the other."""
+        xc = x - self.centre
+        norms = (xc * xc).sum(axis=1)
+        block = norms[:, None] + self.square - 2 * (xc @ self.near.T)
+        margin = 2.0**-50 * (x.shape[1] + 8) * (norms[:, None] + self.square + (self.centre * self.centre).sum())
+        if len(ids) >= self.top and keep.sum() > 4 * self.top * len(self.q):
+            above = np.where(keep, block + margin, np.inf)
+            self._lower(np.sqrt(np.maximum(np.partition(above, self.top - 1, axis=0)[self.top - 1], 0)) * (1 + 1e-12))
+        v, q = np.nonzero(keep & ~(block - margin > (self.limit * (1 + 1e-12)) ** 2))
+        total = np.zeros(len(v))
+        for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(self.q.T), strict=True):
+            d = a[v] - b[q]
+            total += d * d
+        got = np.zeros(len(v), self.found.dtype)
+        got["q"], got["score"], got["id"] = q, np.sqrt(total), ids[v]
+        both = np.concatenate([self.found, got])
+        both = both[np.lexsort((both["id"], both["score"], both["q"]))]
+        count = np.bincount(both["q"], minlength=len(self.q))
+        rank = np.arange(len(both)) - (np.cumsum(count) - count)[both["q"]]
+        self.found = both[rank < self.top]
+        last = both[rank == self.top - 1]
+        thr = np.full(len(self.q), np.inf)
+        thr[last["q"]] = last["score"]
+        self._lower(thr)
+
+
+def search(rows: DataFrame, is_query: str, *, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 10, short: int | None = None, beam: int = 6, sample_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, id, score): the nearest rows of every row for which ``is_query`` holds.
 
     Codebooks are fitted on at most ``sample_rows`` vectors, those with the
-    lowest hash of their id; every vector is indexed. Each query's ``short``
-    best estimates of each slice of SLICE vectors are ranked by the exact
-    Euclidean distance in double precision, ties to the smaller id; with no
-    more than ``short`` vectors the result is exact. A row is no candidate of
-    its own query. Null, zero and non-finite vectors take no part, vectors of
-    different sizes never meet, and rows that repeat an id count once. Other
-    columns are not read.
+    lowest hash of their id; every vector is indexed. The codes of every vector
+    bound its distance to every query; those that may be among the ``top``
+    nearest are measured by the exact Euclidean distance in double precision,
+    ties to the smaller id, so the result is exact on any vectors (``short``,
+    once the length of a list of estimates, has no effect). A row is no
+    candidate of its own query. Null, zero and non-finite vectors take no part,
+    vectors of different sizes never meet, and rows that repeat an id count
+    once. Other columns are not read.
     """
     every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.expr(is_query).alias("asks")).filter("id is not null")
     found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for dim in sizes(every, "vec"):
-        found = found.unionByName(_search_size(of_size(every, "vec", dim), dim, top, short, beam, sample_rows))
+        found = found.unionByName(_search_size(of_size(every, "vec", dim), dim, top, beam, sample_rows))
     return found.withColumnRenamed("vec_id", id_col)
 
 
-def _search_size(every: DataFrame, dim: int, top: int, short: int, beam: int, sample_rows: int) -> DataFrame:
+def _search_size(every: DataFrame, dim: int, top: int, beam: int, sample_rows: int) -> DataFrame:
     """(query_id, rank, vec_id, score) among vectors (id, vec, asks) of one size."""
     spark = every.sparkSession
+    kind = np.float32 if every.schema["vec"].dataType.elementType == T.FloatType() else np.float64
+    cores = spark.sparkContext.defaultParallelism
+    # one row of each id, for queries and candidates alike
+    every = materialize(every.repartition(max(cores, every.rdd.getNumPartitions()), "id").dropDuplicates(["id"]), "ann-rows")
     sample = every.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow().column(0).combine_chunks()
-    held = spark.sparkContext.broadcast(train(matrix(sample, dim)))
+    sample = matrix(sample, dim)
+    centre = sample.mean(axis=0)
+    held = spark.sparkContext.broadcast((train(sample - centre), centre))
 
     def index(batches):
-        books = held.value
+        books, centre = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, PACK):
                 part = batch.slice(at, PACK)
-                ids = np.asarray(part.column(0), np.int64)
-                done = [books.encode(matrix(part.column(1).slice(i, 256), dim), beam) for i in range(0, len(ids), 256)]
+                ids, x = np.asarray(part.column(0), np.int64), matrix(part.column(1), dim)
+                done = [books.encode(x[i : i + 256] - centre, beam) for i in range(0, len(ids), 256)]
                 codes = np.concatenate([c for c, _ in done])
                 norms = np.concatenate([v for _, v in done])
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, codes, norms)], names=["first", "ids", "codes", "norms"])
+                rest = x - centre - sum(books.words[j][codes[:, j]] for j in range(codes.shape[1]))
+                # a margin for the rounding of the rest itself
+                rests = np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-9) + 1e-14 * np.sqrt((x * x).sum(axis=1) + (centre * centre).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids, codes, norms, rests, x.astype(kind))], names=["first", *PACKED])
 
-    packed = materialize(every.select("id", "vec").mapInArrow(index, "first long, ids binary, codes binary, norms binary"), "ann-index")
-    queries = every.filter(F.coalesce("asks", F.lit(False))).select("id", "vec").dropDuplicates(["id"])
+    packed = materialize(every.select("id", "vec").mapInArrow(index, "first long, " + ", ".join(f"{c} binary" for c in PACKED)), "ann-index")
+    queries = every.filter(F.coalesce("asks", F.lit(False))).select("id", "vec")
     n, n_queries = every.count(), queries.count()
-    slices, blocks = -(-n // SLICE), max(1, -(-n_queries // QUERIES))
-    spread = lambda to: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, to) - 1).cast("long")))
+    blocks = max(1, -(-n_queries // QUERIES))
+    slices = max(1, -(-n * dim * kind().itemsize // SLICE), min(-(-n // PACK), -(-cores // blocks)))
+    spread = lambda to: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(to - 1).cast("long")))
     asked = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), spread(slices).alias("slice"))
-    dealt = packed.select("ids", "codes", "norms", spread(blocks).alias("block"), F.pmod(F.xxhash64("first"), F.lit(max(1, slices))).alias("slice"))
-
-    def estimate(key, ask, has):
-        books = held.value
-        m, k, _ = books.shape
-        out_q, out_v = [], []
-        if ask.num_rows and has.num_rows:
-            own = np.asarray(ask.column("id").combine_chunks(), np.int64)
-            q = matrix(ask.column("vec").combine_chunks(), dim)
-            table = np.ascontiguousarray(np.einsum("qd,mkd->mkq", q, books.words, optimize=True).reshape(m * k, len(q)).astype(np.float32))
-            best_v, best_s = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)
-            for ids, codes, norms in zip(*(has.column(c).to_pylist() for c in ("ids", "codes", "norms")), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                codes = np.frombuffer(codes, np.uint8 if k <= 256 else np.uint16).reshape(len(ids), m)
-                score = np.repeat(np.frombuffer(norms, np.float64).astype(np.float32)[:, None], len(q), axis=1)
-                for j in range(m):
-                    score -= 2 * table[codes[:, j].astype(np.int64) + j * k]
-                score[ids[:, None] == own[None, :]] = np.inf
-                best_s = np.concatenate([best_s, score.T], axis=1)
-                best_v = np.concatenate([best_v, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
-                if best_s.shape[1] > short:
-                    keep = np.argpartition(best_s, short - 1, axis=1)[:, :short]
-                    best_s, best_v = np.take_along_axis(best_s, keep, axis=1), np.take_along_axis(best_v, keep, axis=1)
-            real = np.isfinite(best_s)
-            out_q, out_v = np.repeat(own, real.sum(axis=1)), best_v[real]
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "id": pa.array(out_v, pa.int64())})
-
-    short_list = asked.groupBy("block", "slice").cogroup(dealt.groupBy(F.col("block"), F.col("slice"))).applyInArrow(estimate, "query_id long, id long").distinct()
-    exact = F.sqrt(F.expr("aggregate(zip_with(vec, asked, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (a, x) -> a + x)"))
-    pairs = short_list.join(every.select("id", "vec").dropDuplicates(["id"]), "id").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
-    scored = pairs.select("query_id", "id", exact.alias("score"))
+    dealt = packed.select(*PACKED, spread(blocks).alias("block"), F.pmod(F.xxhash64("first"), F.lit(slices)).alias("slice"))
+
+    def nearest(key, ask, has):
+        books, centre = held.value
+        own, q = np.asarray(ask.column("id").combine_chunks(), np.int64), matrix(ask.column("vec").combine_chunks(), dim)
+        some = [Nearest(own[i : i + AT_ONCE], q[i : i + AT_ONCE], books, centre, top) for i in range(0, len(own), AT_ONCE)]
+        for i in range(has.num_rows if some else 0):
+            ids, codes, norms, rests, vectors = (has.column(c)[i].as_buffer() for c in PACKED)
+            ids = np.frombuffer(ids, np.int64)
+            pack = np.frombuffer(codes, np.uint8 if books.shape[1] <= 256 else np.uint16).reshape(len(ids), -1), np.frombuffer(norms), np.frombuffer(rests), np.frombuffer(vectors, kind).reshape(len(ids), dim)
+            for part in some:
+                with np.errstate(over="ignore", invalid="ignore"):  # what overflows is never ruled out
+                    part.feed(ids, *pack)
+        out = [(p.own[p.found["q"]], p.found["id"], p.found["score"]) for p in some]
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    scored = asked.groupBy("block", "slice").cogroup(dealt.groupBy("block", "slice")).applyInArrow(nearest, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -55,3 +55,19 @@ def test_recall_with_a_short_list(spark):
         hits += len(best & {v for _, v, _ in rows})
     assert hits >= 0.9 * 400
     assert [v for _, v, _ in sorted(found[200])][:2] == [7, 9]
+
+
+def test_nearest_are_exact_on_any_rows(spark):
+    """Vectors far from the origin, and of very different sizes, which estimates alone don't tell apart."""
+    rng = np.random.default_rng(5)
+    n = 1_500
+    for x in (1e4 + rng.normal(size=(n, 16)), rng.normal(size=(n, 16)) * 10.0 ** rng.uniform(-6, 6, size=(n, 1))):
+        x = x.astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.search(df, "vec_id % 100 = 0").collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+        for q in range(0, n, 100):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            assert [got[q][i + 1] for i in range(10)] == np.lexsort((np.arange(n), d))[:10].tolist()
