@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hours
+from ..session import dealt, slices
 
 #: How far a value may stand from a name, by kind.
 REACH = {"schedule": 350, "address": 450}
@@ -43,26 +44,45 @@ KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleTyp
 OUT = "name string, value string, position int, distance int, score double, label string, excerpt string, claimed boolean"
 
 
-def _matches(text: str, names: list[tuple[str, list[str]]], kind: str) -> list[tuple]:
-    """The rows of one text: every value near every name, and whether that name is its nearest (the first of equally near ones)."""
-    low, reach = text.lower(), REACH[kind]
-    generic = hours.GENERIC if kind == "schedule" else hours.GENERIC_PLACES
-    here = []
+def prepared(names: list[tuple[str, list[str]]], kind: str) -> list[tuple]:
+    """What each (name, its own words) asks of a text: computed once for all texts."""
+    out = []
     for name, primary in names:
         words = name.split()
         required = list(dict.fromkeys(primary + words)) if kind == "schedule" else (primary or words)
-        marks = hours.positions(low, required, generic)
-        two = sum(w in low for w in dict.fromkeys(words)) >= min(2, len(set(words)))
-        if marks and (two or len(_trigrams(low) & _trigrams(name)) > 0.2 * len(_trigrams(low) | _trigrams(name))):
-            here.append((name, primary or words, np.array(marks), hours.name_position(low, name, generic)))
+        out.append((name, primary or words, required, list(dict.fromkeys(words)), _trigrams(name)))
+    return out
+
+
+def _matches(text: str, names: list[tuple], kind: str) -> list[tuple]:
+    """The rows of one text: every value near every name (``prepared``), and whether that name is its nearest (the first of equally near ones)."""
+    low, reach = text.lower(), REACH[kind]
+    generic = hours.GENERIC if kind == "schedule" else hours.GENERIC_PLACES
+    # names share words: each is looked for once
+    holds = {w: w in low for w in {w for _, _, required, words, _ in names for w in (*required, *words)}}
+    grams = _trigrams(low) if any(holds.values()) else set()
+    at_word: dict[str, list[int]] = {}
+    here = []
+    for name, terms, required, words, of_name in names:
+        held = [t for t in required if holds[t]]
+        if not held:
+            continue
+        for t in held:
+            if t not in at_word:
+                at_word[t] = hours.positions(low, [t], generic)
+        marks = sorted({p for t in held for p in at_word[t]})
+        if not marks:
+            continue
+        both = len(grams & of_name)
+        either = len(grams) + len(of_name) - both
+        if sum(holds[w] for w in words) >= min(2, len(words)) or both > 0.2 * either:
+            here.append((name, terms, np.array(marks), hours.name_position(low, name, generic), both / either))
     if not here:
         return []
     found = hours.schedules(text) if kind == "schedule" else hours.addresses(text)
-    rows, grams = [], _trigrams(low)
+    rows = []
     at = np.array([p for _, p in found], np.int64)
-    for name, terms, marks, place in here:
-        of_name = _trigrams(name)
-        similar = len(grams & of_name) / len(grams | of_name)
+    for name, terms, marks, place, similar in here:
         if kind == "schedule":
             far = nearest(at, marks)
             ok = far <= reach
@@ -97,13 +117,13 @@ def near_names(chunks: DataFrame, keys: list[str], text: str, names: list[str],
     texts count as empty; repeated rows repeat.
     """
     names = [" ".join(n.lower().split()) for n in names]
-    wanted = [(n, o.lower().split()) for n, o in zip(names, originals or [""] * len(names), strict=True) if n]
+    wanted = prepared([(n, o.lower().split()) for n, o in zip(names, originals or [""] * len(names), strict=True) if n], kind)
     fields = OUT.split(", ")
     schema = T.StructType([chunks.schema[k] for k in keys] + [T.StructField(f.split()[0], KINDS[f.split()[1]]) for f in fields])
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1_024):
             of, rows = [], []
             for i in range(batch.num_rows):
                 got = _matches(batch.column(len(keys))[i].as_py() or "", wanted, kind)
@@ -113,7 +133,7 @@ def near_names(chunks: DataFrame, keys: list[str], text: str, names: list[str],
             taken = [batch.column(k).take(pa.array(of, pa.int32())) for k in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*keys, *(f.split()[0] for f in fields)])
 
-    return chunks.select(*keys, text).mapInArrow(run, schema)
+    return dealt(chunks.select(*keys, text), *keys).mapInArrow(run, schema)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -88,3 +88,10 @@ def test_appointments_stand_in(spark):
     assert proximity.near_names(df, ["doc"], "content", [], "schedule").collect() == []
     found = df.select(proximity.office_hours(F.col("content")).alias("h")).first().h
     assert found == []
+
+
+def test_texts_of_one_file_go_to_all_cores(spark):
+    one = spark.createDataFrame([(i, f"Torre Rossa: orario 8:{10 + i}-12:30") for i in range(40)], "k long, t string").coalesce(1)
+    got = proximity.near_names(one, ["k"], "t", ["Torre Rossa", "Valle Rossa"], "schedule")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r.k for r in got.filter("name = 'torre rossa' and claimed").collect()} == set(range(40))
