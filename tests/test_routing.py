@@ -78,3 +78,22 @@ def test_required_terms_and_keys(spark):
     assert holds(["ANAGRAFE ", "ufficio"]) == [True, False, False] and holds(["ufficio", "an"]) == [False] * 3 and holds([]) == [True] * 3
     keys = [r[0] for r in df.select(text.dedup_key(F.lit(" X"), F.col("u"))).collect()]
     assert keys[0] == keys[1] != keys[2]
+
+
+def test_assignment_in_blocks_of_the_queue(spark):
+    """Blocks far smaller than a tenant's queue give what one queue gives, in as many rounds as there are blocks."""
+    o = spark.createDataFrame([(1, i, ["a", "b"][i % 2 :], 0, 1 + i % 3, 5.0, 4.0, 10) for i in range(30)], "tenant int, operator_id long, skills array<string>, load int, most int, minutes double, rating double, handled int")
+    r = spark.createDataFrame([(1, i, ["a"] if i % 3 else ["b"], None, "normal", f"p{i % 4}") for i in range(200)], "tenant int, request_id long, required array<string>, preferred array<string>, priority string, level string")
+    whole = {tuple(x) for x in routing.assign(r, o, ["level"]).collect()}
+    assert whole == {tuple(x) for x in routing.assign(r, o, ["level"], block=7).collect()}
+    room, want = {i: 1 + i % 3 for i in range(30)}, {}
+    fit = {(x.profile): [] for x in routing.suited(r, o).select("profile").distinct().collect()}
+    for x in routing.suited(r, o).filter("score >= 30").collect():
+        fit[x.profile].append((-x.score, x.operator_id))
+    kind = {x.request_id: x.profile for x in r.select("request_id", routing._profile().alias("profile")).collect()}
+    for i in sorted(range(200), key=lambda i: (f"p{i % 4}", i)):
+        free = [k for _, k in sorted(fit[kind[i]]) if room[k]]
+        if free:
+            want[i] = free[0]
+            room[free[0]] -= 1
+    assert {x[0]: x[1] for x in whole} == want and len(want) == 60
