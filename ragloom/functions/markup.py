@@ -184,13 +184,16 @@ def unlikely_phone(match: Column, around: Column) -> Column:
     """
     digits = F.regexp_replace(F.regexp_replace(match, r"[^0-9+]", ""), r"^(\+39|0039)", "")
     low, n = F.lower(around), F.length(digits)
+    # a price is the number itself beside a currency, not any number nearby
+    itself = F.concat(F.lit(r"\Q"), match, F.lit(r"\E"))
+    priced = F.regexp(low, F.concat(F.lit(r"[€$£]\s*"), itself, F.lit("|"), itself, F.lit(r"\s*(?:€|(?:euro?|dollari?|pounds?)\b)")))
     return (
         F.when(digits.isin(*EMERGENCY), False)
         .when((n == 11) & low.rlike(r"\b(?:p\.?iva|partita\s+iva|vat|codice\s+fiscale|cf)\b"), True)
         .when(match.rlike(r"^\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}$") | match.rlike(r"^\d{2,4}[.\-/]\d{1,2}[.\-/]\d{1,2}$") | digits.rlike(r"^\d{8}$"), True)
         .when(match.rlike(r"^\d{1,2}[.:]\d{2}$"), True)
         .when((n == 5) & low.rlike(r"\b(?:cap|codice\s+postale|via|viale|piazza|corso)\b"), True)
-        .when(low.rlike(r"[€$£]\s*\d|\d\s*(?:€|euro?\b)"), True)
+        .when(priced, True)
         .otherwise((n < 6) | (n > 15) | ~digits.rlike(r"^(?:0\d{1,3}|3\d{2}|800|199|892|899|1\d{2,3})"))
     )
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.operators import ranking, retrieval, text
+from ragloom.operators import contacts, ranking, retrieval, text
 from ragloom.plans import registry
 from ragloom.session import TABLES
 from ragloom.streaming import counters
@@ -81,3 +81,9 @@ def test_stream_counts_as_the_table_does(spark, tmp_path):
     out.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(60)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("counted")) == key(counters.daily_counts(rows, ["k"]))
+
+
+def test_a_price_elsewhere_leaves_a_phone(spark):
+    rows = spark.createDataFrame([(1, "Mario Rossi: 0612345678. A$$$ 000 b"), (2, "Mario Rossi: € 0612345678"), (3, "Mario Rossi: 0612345678 euro")], "doc long, t string")
+    got = contacts.near_name(rows, ["doc"], "t", "Mario Rossi", "phone", None)
+    assert [(r.doc, r.value) for r in got.collect()] == [(1, "0612345678")]
