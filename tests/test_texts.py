@@ -134,3 +134,10 @@ def test_blocks_give_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7)
     assert key() == whole and len(whole) == 24
+
+
+def test_italian_words_end_at_other_letters(spark):
+    """As the SQL's words do: ASCII letters, digits and the underscore alone belong to a word."""
+    texts = ["façon délà aller", "è il la di", "éla òil ùdi", "dila ella condi", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.x for r in rows.select("i", scalars.is_italian(F.col("t")).alias("x")).orderBy("i").collect()] == [False, True, True, False, None]
