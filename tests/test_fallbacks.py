@@ -183,3 +183,10 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
     metrics.append_metrics(stream(), table, state).awaitTermination()
     rows = metrics.read_metrics(spark, table)
     assert rows.count() == 13 and rows.select("metric_id").distinct().count() == 13
+
+
+def test_questions_lose_blanks_only(spark):
+    """A line break at the end of a question belongs to it, as in SQL."""
+    rows = spark.createDataFrame([(1, "when do they open\nand close")], "k long, t string")
+    got = similarity.matching_questions(rows, ["k"], "t", [(7, " when do they open\n")]).collect()
+    assert [(r.question_id, r.percent) for r in got] == [(7, 200.0 * 18 / (18 + 27))]
