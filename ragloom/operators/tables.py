@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,12 @@ SEPARATOR_ROW = r"^\|?\s*:?-+.*\|.*-+.*\s*\|?\s*$"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
+    return F.trim(c, F.lit(" \t\n\r\x00\x0b"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: what a lambda function names is worked out anew for every item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _lines(text: Column) -> Column:
@@ -87,20 +94,23 @@ def directory_entries(text: Column) -> Column:
     above without a phone, the address the next line if it has none.
     """
     lines = F.filter(F.transform(_lines(text), _strip), lambda x: x != "")
+    marked = F.transform(lines, lambda x: F.struct(x.alias("t"), x.rlike(PHONE).alias("phone")))
+
+    def entries(held: Column) -> Column:
+        def parts(i: Column) -> Column:
+            plain = lambda k: F.when(~F.get(held, i + k)["phone"], F.get(held, i + k)["t"])
+            phones = F.array_join(F.transform(F.regexp_extract_all(F.get(held, i)["t"], F.lit(PHONE), F.lit(0)), lambda m: F.trim(m)), " / ")
+            return F.struct(F.coalesce(plain(-1), plain(-2), F.lit("")).alias("name"), phones.alias("phones"), F.coalesce(plain(1), F.lit("")).alias("address"))
+
+        def entry(e: Column) -> Column:
+            named = lambda label, c: F.when(e[c] != "", F.concat(F.lit(label), e[c]))
+            return F.struct(e["name"], e["phones"], e["address"], F.concat_ws("\n", named("Nome: ", "name"), named("Telefono: ", "phones"), named("Indirizzo: ", "address")).alias("content"))
+
+        some = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: F.get(held, i)["phone"])
+        found = F.array_distinct(F.filter(F.transform(F.transform(some, parts), entry), lambda e: F.length(e["content"]) >= 15))
+        return _let(found, lambda x: F.when((F.size(held) >= 3) & (F.size(x) >= LEAST_ENTRIES), x).otherwise(F.slice(x, 1, 0)))
 
-    def entry(i: Column, all_lines: Column) -> Column:
-        at = lambda k: F.coalesce(F.get(all_lines, i + k), F.lit(""))
-        plain = lambda x: F.when((x != "") & ~x.rlike(PHONE), x)
-        above = lambda k: F.when(i >= k, plain(at(-k)))
-        name, address = F.coalesce(above(1), above(2), F.lit("")), F.coalesce(plain(at(1)), F.lit(""))
-        phones = F.array_join(F.transform(F.regexp_extract_all(at(0), F.lit(PHONE), F.lit(0)), lambda m: F.trim(m)), " / ")
-        named = lambda label, v: F.when(v != "", F.concat(F.lit(label), v))
-        content = F.concat_ws("\n", named("Nome: ", name), named("Telefono: ", phones), named("Indirizzo: ", address))
-        return F.struct(name.alias("name"), phones.alias("phones"), address.alias("address"), content.alias("content"))
-
-    some = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(PHONE))
-    found = F.array_distinct(F.filter(F.transform(some, lambda i: entry(i, lines)), lambda e: F.length(e["content"]) >= 15))
-    return F.when((F.size(lines) >= 3) & (F.size(found) >= LEAST_ENTRIES), found).otherwise(F.slice(found, 1, 0))
+    return _let(marked, entries)
 
 
 def without_boilerplate(text: Column) -> Column:
