@@ -50,13 +50,15 @@ def metrics(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.withColumn("_text", F.regexp_replace(html, "<[^>]*>", ""))
-    text, low = F.col("_text"), F.lower("_text")
+    text, low = F.col("_text"), F.col("_low")
+    # each of these is worked out once, however often it is named
+    rows = rows.withColumns({"_low": F.lower("_text"), "_letters": F.regexp_replace("_text", "[^a-zA-Z]+", "")})
     rows = rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))).withColumn("_n", F.size("_words")).withColumn("_size", F.octet_length("_text"))
     sentences = F.size(F.split(text, r"[.!?]+", -1))
-    letters = F.regexp_replace(text, "[^a-zA-Z]", "")
-    upper = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, "[^A-Z]", "")) / F.length(letters)).otherwise(0.0)
-    lower = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, "[^a-z]", "")) / F.length(letters)).otherwise(0.0)
-    marks, odd = _ratio(text, "[^.!?,:;]"), _ratio(text, r"[a-zA-Z0-9\s.!?,:;]")
+    letters, marks = F.col("_letters"), F.col("_marks")
+    upper = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, "[^A-Z]+", "")) / F.length(letters)).otherwise(0.0)
+    lower = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, "[^a-z]+", "")) / F.length(letters)).otherwise(0.0)
+    rows, odd = rows.withColumn("_marks", _ratio(text, "[^.!?,:;]+")), _ratio(text, r"[a-zA-Z0-9\s.!?,:;]+")
     language = F.lit(0.5) - F.when((upper > 0.8) | (lower > 0.9), 0.3).otherwise(0.0) + F.when((marks > 0.02) & (marks < 0.15), 0.2).otherwise(0.0) - F.when(odd > 0.1, 0.2).otherwise(0.0)
     kinds = reduce(lambda a, b: a + b, (F.least(F.regexp_count(text, F.lit(p)) * 0.1, F.lit(0.3)) for p in ENTITIES))
     relevance = reduce(lambda a, b: a + b, (F.when(low.rlike("|".join(p)), 0.25).otherwise(0.0) for p in BUSINESS))
@@ -83,14 +85,14 @@ def metrics(pages: DataFrame, html_col: str = "html") -> DataFrame:
         .otherwise("generic_page")
     )
     # the category with the largest sum of weights, the first of equals
-    sums = {c: reduce(lambda a, b: a + b, (low.rlike(p).cast("int") for p in patterns)) * w for c, (w, patterns) in CATEGORIES.items()}
-    best = F.greatest(*sums.values())
+    sums = {f"_{c}": reduce(lambda a, b: a + b, (low.rlike(p).cast("int") for p in patterns)) * w for c, (w, patterns) in CATEGORIES.items()}
+    rows = rows.withColumns(sums).withColumn("_best", F.greatest(*sums))
     category = F.lit("general")
-    for c, total in reversed(sums.items()):
-        category = F.when((total == best) & (total > 0), F.lit(c)).otherwise(category)
+    for c in reversed(CATEGORIES):
+        category = F.when((F.col(f"_{c}") == F.col("_best")) & (F.col(f"_{c}") > 0), F.lit(c)).otherwise(category)
     rows = rows.withColumns({"page_type": kind, "category": category})
     whole = reduce(lambda a, b: a + b, (F.col(k) * w for k, w in WEIGHTS.items())) + F.when(F.col("structured") & (F.col("relevance") > 0.5), 0.1).otherwise(0.0)
     whole = whole * F.when(F.col("page_type") == "navigation_directory", 0.7).otherwise(1.0)
     rows = rows.withColumn("quality", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)), 3))
     priority = F.when((F.col("quality") >= 0.7) | (F.col("relevance") > 0.7), "high").when(F.col("quality") < 0.3, "low").otherwise("normal")
-    return rows.withColumn("priority", priority).drop("_text", "_words", "_n", "_size")
+    return rows.withColumn("priority", priority).drop("_text", "_low", "_letters", "_words", "_n", "_size", "_marks", "_best", *sums)
