@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import slices
+
 # They must equal those of existing deployments.
 #: Bytes of windows-1252 that pages declared as ISO-8859-1 really use.
 TELLING = "\x85\x91\x92\x93\x94\x96\x97"
@@ -102,16 +104,16 @@ def repair(text: str | None, most: int = 3) -> str | None:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([repair(t) for t in texts], dtype=object)
+@F.arrow_udf(T.StringType())
+def _repaired(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in slices(pa.RecordBatch.from_arrays([c], ["text"]) for c in columns):
+        yield pa.array([repair(t) for t in batch.column(0).to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _fetched(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for contents, names in batches:
-        yield pd.Series([repair(decode(c, n)) for c, n in zip(contents, names, strict=True)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _fetched(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in slices(pa.RecordBatch.from_arrays(list(c), ["content", "name"]) for c in columns):
+        yield pa.array([repair(decode(c, n)) for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())
 
 
 def repaired(text: Column) -> Column:
