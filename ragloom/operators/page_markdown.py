@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html, markup
+from ..session import slices
 from . import page_tree
 
 
-@F.pandas_udf(T.StringType())
-def _converted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for pages, bases in batches:
-        yield pd.Series([html.to_markdown(p, b) for p, b in zip(pages, bases, strict=True)], dtype=object)
+@F.arrow_udf(T.StringType())
+def _converted(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in slices(pa.RecordBatch.from_arrays(list(c), ["page", "base"]) for c in columns):
+        yield pa.array([html.to_markdown(p, b) for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())
 
 
 def to_markdown(page: Column, base: Column) -> Column:
@@ -48,10 +49,8 @@ def by_density(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     Pages without a paragraph of running text have nulls and don't pass.
     """
-    nodes = page_tree.node_table(pages, id_col, html_col)
-    found = page_tree.densest(nodes).withColumnRenamed("id", "_page")
-    joined = pages.join(found, pages[id_col] == F.col("_page"), "left")
-    piece = F.when(F.col("_page").isNotNull(), F.substr(html_col, F.col("start") + 1, F.col("stop") - F.col("start")))
-    text = markup.filtered_lines(to_markdown(piece, F.col(url_col)))
-    out = joined.select(pages[id_col], "pre", "tag", "points", "link_share", pages[html_col].alias("_html"), text.alias("markdown"))
+    found = pages.select(id_col, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), page_tree.densest_element(F.col(html_col)).alias("_at"))
+    piece = F.substr("_html", F.col("_at.start") + 1, F.col("_at.stop") - F.col("_at.start"))
+    text = markup.filtered_lines(to_markdown(piece, F.col("_url")))
+    out = found.select(id_col, "_at.pre", "_at.tag", "_at.points", "_at.link_share", "_html", text.alias("markdown"))
     return out.withColumn("passed", page_tree.passes(F.col("markdown"), F.col("_html"))).drop("_html")

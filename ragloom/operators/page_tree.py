@@ -3,18 +3,23 @@
 A page becomes rows, one for each element and text, numbered in order of their
 start (``pre``), with the number of the last node inside (``end``). So an
 ancestor is an interval, a running maximum tells what stands inside a removed
-element, and a prefix sum what a subtree holds. All windows run by page.
+element, and a prefix sum what a subtree holds. All windows run by page. Whole
+tables of pages skip the node table for the densest element: it is found page by page.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import html, markup
+from ..session import slices
 
 # They must equal those of existing deployments.
 REMOVED_TAGS = ("script", "style", "nav", "footer", "header", "aside")
@@ -31,6 +36,8 @@ SCRIPTED_SELECTORS = (("role", "main"), ("class", "main-content"), ("class", "pa
 COMPONENTS = ("switcher", "md-procedimento", "md-files", "converter-file", "md-contacts")
 #: Least Markdown and least quality of an extraction.
 LEAST_BYTES, LEAST_QUALITY = 50, 0.1
+#: What counts as running text: elements, their least characters, and its marks.
+PARAGRAPHS, LEAST_PARAGRAPH, COMMAS = ("p", "td", "pre"), 25, ",،、，"
 
 NODES = f"id long, {html.NODE}"
 
@@ -134,12 +141,12 @@ def densest(nodes: DataFrame) -> DataFrame:
     length = lambda c: F.sum(F.when(c, F.length(F.trim("text"))).otherwise(0)).over(whole)
     kept = nodes.withColumn("gone", _inside(unwanted()))
     is_text = (F.col("tag") == "#text") & ~F.col("gone")
-    kept = kept.withColumns({"sum_text": length(is_text), "sum_link": length(is_text & F.col("linked")), "sum_commas": F.sum(F.when(is_text, F.regexp_count("text", F.lit("[,،、，]"))).otherwise(0)).over(whole)})
+    kept = kept.withColumns({"sum_text": length(is_text), "sum_link": length(is_text & F.col("linked")), "sum_commas": F.sum(F.when(is_text, F.regexp_count("text", F.lit(f"[{COMMAS}]"))).otherwise(0)).over(whole)})
     ends = kept.select("id", F.col("pre").alias("end"), F.col("sum_text").alias("to_text"), F.col("sum_link").alias("to_link"), F.col("sum_commas").alias("to_commas"))
     elements = kept.filter("tag <> '#text' and not gone").join(ends, ["id", "end"]).select(
         "id", "pre", "parent", "tag", "start", "stop", (F.col("to_text") - F.col("sum_text")).alias("size"), (F.col("to_link") - F.col("sum_link")).alias("in_links"), (F.col("to_commas") - F.col("sum_commas")).alias("commas")
     )
-    paragraphs = elements.filter("tag in ('p', 'td', 'pre') and size >= 25")
+    paragraphs = elements.filter(F.col("tag").isin(*PARAGRAPHS) & (F.col("size") >= LEAST_PARAGRAPH))
     paragraphs = paragraphs.select("id", "parent", (F.lit(1) + F.col("commas") + F.least(F.floor(F.col("size") / 100), F.lit(3))).alias("points"))
     above = elements.select("id", F.col("pre").alias("parent"), F.col("parent").alias("grand"))
     given = paragraphs.join(above, ["id", "parent"]).select("id", F.explode(F.array(F.struct(F.col("parent").alias("pre"), (F.col("points") * 2).alias("p")), F.struct(F.col("grand").alias("pre"), F.col("points").alias("p")))).alias("x"))
@@ -150,6 +157,58 @@ def densest(nodes: DataFrame) -> DataFrame:
     return best.select("id", (-F.col("m.first")).alias("pre"), "m.tag", "m.start", "m.stop", "m.points", "m.link_share")
 
 
+def _densest(page: str | None) -> dict | None:
+    """What ``densest`` finds in one page, by one walk over its nodes and prefix sums of its text."""
+    rows = html.nodes(page) if page else []
+    size, linked, commas = ([0] * (len(rows) + 1) for _ in range(3))
+    gone, alive = 0, []  # the last node inside what is removed
+    for pre, end, _, _, tag, css, _, _, text, in_link, *_ in rows:
+        if pre > gone and (tag in REMOVED_TAGS or any(c in css for c in REMOVED_CLASSES)):
+            gone = end
+        said = tag == "#text" and pre > gone
+        n = len(text.strip(" ")) if said else 0
+        size[pre] = size[pre - 1] + n
+        linked[pre] = linked[pre - 1] + (n if in_link else 0)
+        commas[pre] = commas[pre - 1] + (sum(map(text.count, COMMAS)) if said else 0)
+        if tag in PARAGRAPHS and pre > gone:
+            alive.append(pre)
+    halves: Counter = Counter()
+    for pre in alive:
+        end, parent = rows[pre - 1][1:3]
+        if parent and (n := size[end] - size[pre]) >= LEAST_PARAGRAPH:
+            points = 1 + commas[end] - commas[pre] + min(n // 100, 3)
+            halves[parent] += 2 * points
+            halves[rows[parent - 1][2]] += points
+    best = None
+    for pre, n in halves.items():
+        if pre:
+            end = rows[pre - 1][1]
+            share = (linked[end] - linked[pre]) / (size[end] - size[pre])
+            best = max(best or (-1.0, 0, 0.0), (n / 2 * (1 - share), -pre, share))
+    if best is None:
+        return None
+    row = rows[-best[1] - 1]
+    return {"pre": row[0], "tag": row[4], "start": row[-2], "stop": row[-1], "points": best[0], "link_share": best[2]}
+
+
+_FIELDS = (("pre", T.IntegerType()), ("tag", T.StringType()), ("start", T.IntegerType()), ("stop", T.IntegerType()), ("points", T.DoubleType()), ("link_share", T.DoubleType()))
+_DENSEST = pa.struct([("pre", pa.int32()), ("tag", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("points", pa.float64()), ("link_share", pa.float64())])
+
+
+@F.arrow_udf(T.StructType([T.StructField(*f) for f in _FIELDS]))
+def _densest_elements(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in slices(pa.RecordBatch.from_arrays([c], ["page"]) for c in columns):
+        yield pa.array([_densest(x) for x in batch.column(0).to_pylist()], _DENSEST)
+
+
+def densest_element(page: Column) -> Column:
+    """(pre, tag, start, stop, points, link_share) of each page's densest element, as ``densest`` tells it from a node table; null without one.
+
+    A page is read once where it is, so nothing is shuffled.
+    """
+    return _densest_elements(page)
+
+
 def passes(markdown: Column, page: Column) -> Column:
     """Whether an extraction is long enough and holds enough of its page."""
     return F.coalesce((F.octet_length(markdown) >= LEAST_BYTES) & (markup.extraction_quality(markdown, page) >= LEAST_QUALITY), F.lit(False))
