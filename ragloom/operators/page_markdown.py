@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html, markup
-from ..session import slices
+from ..session import dealt, slices
 from . import page_tree
 
 
@@ -49,7 +49,8 @@ def by_density(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     Pages without a paragraph of running text have nulls and don't pass.
     """
-    found = pages.select(id_col, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), page_tree.densest_element(F.col(html_col)).alias("_at"))
+    found = dealt(pages.select(id_col, F.col(url_col).alias("_url"), F.col(html_col).alias("_html")), id_col)
+    found = found.withColumn("_at", page_tree.densest_element(F.col("_html")))
     piece = F.substr("_html", F.col("_at.start") + 1, F.col("_at.stop") - F.col("_at.start"))
     text = markup.filtered_lines(to_markdown(piece, F.col("_url")))
     out = found.select(id_col, "_at.pre", "_at.tag", "_at.points", "_at.link_share", "_html", text.alias("markdown"))
