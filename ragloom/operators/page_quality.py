@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,30 @@ CATEGORIES = {
 }
 BUSINESS = (("contatti?", "telefono", "email", "sede"), ("servizi", "prodott", "offert", "prezz"), ("procedur", "modulistic", "richiesta", "domand"), ("orari", "apertura", "chiusura"))
 WEIGHTS = {"text_ratio": 0.2, "density": 0.25, "richness": 0.2, "language_quality": 0.15, "relevance": 0.2}
+BLANKS = r" \t\n\f\r"
 WORDS = r"[A-Za-z'][A-Za-z'-]*"
 
 
+def _ascii(pattern: str) -> str:
+    """``pattern`` with boundaries and blanks of ASCII only, as RE2 has them; of other letters only the long s folds to one that is in use."""
+    pattern = re.sub(r"(?<!\\)\[([^\]]*)\]", lambda m: "[" + m[1].replace(r"\s", BLANKS) + "]", pattern)
+    pattern = pattern.replace(r"\s", f"[{BLANKS}]").replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+    if pattern.startswith("(?i)"):
+        pattern = re.sub(r"(?<![\\\[^])s", "[s\u017f]", pattern)
+    return pattern
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero by the product in binary, as SQL does (``round`` goes by decimals); for values from 0 on."""
+    y = x * float(10**digits)
+    return (F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)) / float(10**digits)
+
+
+def _lower(text: Column) -> Column:
+    """Lower case, each character by itself: the dotted capital I is one letter."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def _count(html: Column, *tags: str) -> Column:
     """How often any of the tags begins."""
     return reduce(lambda a, b: a + b, (F.regexp_count(html, F.lit(t)) for t in tags))
@@ -52,27 +74,27 @@ def metrics(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rows = pages.withColumn("_text", F.regexp_replace(html, "<[^>]*>", ""))
     text, low = F.col("_text"), F.col("_low")
     # each of these is worked out once, however often it is named
-    rows = rows.withColumns({"_low": F.lower("_text"), "_letters": F.regexp_replace("_text", "[^a-zA-Z]+", "")})
+    rows = rows.withColumns({"_low": _lower(text), "_letters": F.regexp_replace("_text", "[^a-zA-Z]+", "")})
     rows = rows.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))).withColumn("_n", F.size("_words")).withColumn("_size", F.octet_length("_text"))
     sentences = F.size(F.split(text, r"[.!?]+", -1))
     letters, marks = F.col("_letters"), F.col("_marks")
     upper = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, "[^A-Z]+", "")) / F.length(letters)).otherwise(0.0)
     lower = F.when(F.length(letters) > 0, F.length(F.regexp_replace(letters, "[^a-z]+", "")) / F.length(letters)).otherwise(0.0)
-    rows, odd = rows.withColumn("_marks", _ratio(text, "[^.!?,:;]+")), _ratio(text, r"[a-zA-Z0-9\s.!?,:;]+")
+    rows, odd = rows.withColumn("_marks", _ratio(text, "[^.!?,:;]+")), _ratio(text, _ascii(r"[a-zA-Z0-9\s.!?,:;]+"))
     language = F.lit(0.5) - F.when((upper > 0.8) | (lower > 0.9), 0.3).otherwise(0.0) + F.when((marks > 0.02) & (marks < 0.15), 0.2).otherwise(0.0) - F.when(odd > 0.1, 0.2).otherwise(0.0)
-    kinds = reduce(lambda a, b: a + b, (F.least(F.regexp_count(text, F.lit(p)) * 0.1, F.lit(0.3)) for p in ENTITIES))
+    kinds = reduce(lambda a, b: a + b, (F.least(F.regexp_count(text, F.lit(_ascii(p))) * 0.1, F.lit(0.3)) for p in ENTITIES))
     relevance = reduce(lambda a, b: a + b, (F.when(low.rlike("|".join(p)), 0.25).otherwise(0.0) for p in BUSINESS))
-    structured = reduce(lambda a, b: a + b, (html.rlike(p).cast("int") for p in STRUCTURED)) >= 2
+    structured = reduce(lambda a, b: a + b, (html.rlike(_ascii(p)).cast("int") for p in STRUCTURED)) >= 2
     rows = rows.withColumns({
-        "text_ratio": F.when(F.octet_length(html) > 0, F.octet_length(F.regexp_replace(text, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")) / F.octet_length(html)).otherwise(0.0),
-        "density": F.when(F.col("_n") == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.size(F.array_distinct("_words")) / F.col("_n") * 2 + F.least(F.col("_n") / sentences / 20, F.lit(0.5))), 3)),
+        "text_ratio": F.when(F.octet_length(html) > 0, F.octet_length(F.regexp_replace(text, r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+\z", "")) / F.octet_length(html)).otherwise(0.0),
+        "density": F.when(F.col("_n") == 0, 0.0).otherwise(rounded(F.least(F.lit(1.0), F.size(F.array_distinct("_words")) / F.col("_n") * 2 + F.least(F.col("_n") / sentences / 20, F.lit(0.5))), 3)),
         "richness": F.least(F.lit(1.0), kinds),
         "language_quality": F.when(F.col("_n") < 10, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), language))),
         "relevance": F.least(F.lit(1.0), relevance),
         "structured": structured,
         "complex_tables": (_count(html, "<table") > 0) & ((_count(html, "<td", "<th") > 15) | (_count(html, "hidden-xs", "visible-xs") > 5)),
         "has_forms": _count(html, "<form") > 0,
-        "has_navigation": F.lower(html).rlike("<nav|menu|breadcrumb|sidebar"),
+        "has_navigation": _lower(html).rlike("<nav|menu|breadcrumb|sidebar"),
         "has_media": _count(html, "<img", "<video", "<audio") > 2,
     })
     kind = (
@@ -93,6 +115,6 @@ def metrics(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rows = rows.withColumns({"page_type": kind, "category": category})
     whole = reduce(lambda a, b: a + b, (F.col(k) * w for k, w in WEIGHTS.items())) + F.when(F.col("structured") & (F.col("relevance") > 0.5), 0.1).otherwise(0.0)
     whole = whole * F.when(F.col("page_type") == "navigation_directory", 0.7).otherwise(1.0)
-    rows = rows.withColumn("quality", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)), 3))
+    rows = rows.withColumn("quality", rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)), 3))
     priority = F.when((F.col("quality") >= 0.7) | (F.col("relevance") > 0.7), "high").when(F.col("quality") < 0.3, "low").otherwise("normal")
     return rows.withColumn("priority", priority).drop("_text", "_low", "_letters", "_words", "_n", "_size", "_marks", "_best", *sums)
