@@ -41,7 +41,7 @@ x AS (SELECT *, round(least(1.0::DOUBLE, (text_ratio * 0.2::DOUBLE + density * 0
     + CASE WHEN structured AND relevance > 0.5 THEN 0.1 ELSE 0 END::DOUBLE) * CASE WHEN page_type = 'navigation_directory' THEN 0.7 ELSE 1 END::DOUBLE), 3) AS quality FROM w)
 """
 _METRICS = ["text_ratio", "density", "richness", "language_quality", "relevance"]
-add("X61_page_metrics", "pages", lambda p: quality.metrics(p).select("page_id", *(F.round(c, 6).alias(c) for c in _METRICS)), _SQL + "SELECT page_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _METRICS) + " FROM x")
+add("X61_page_metrics", "pages", lambda p: quality.metrics(p).select("page_id", *(quality.rounded(F.col(c), 6).alias(c) for c in _METRICS)), _SQL + "SELECT page_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _METRICS) + " FROM x")
 _FLAGS = ["structured", "complex_tables", "has_forms", "has_navigation", "has_media"]
 add("X62_page_predicates", "pages", lambda p: quality.metrics(p).select("page_id", *_FLAGS), _SQL + f"SELECT page_id, {', '.join(_FLAGS)} FROM x")
 add("X63_page_type", "pages", lambda p: quality.metrics(p).select("page_id", "page_type", "category", "priority"), _SQL + "SELECT page_id, page_type, category, CASE WHEN quality >= 0.7 OR relevance > 0.7 THEN 'high' WHEN quality < 0.3 THEN 'low' ELSE 'normal' END AS priority FROM x")
